@@ -22,7 +22,7 @@ from wayflux.checkpoints import checkpoint
 from wayflux.llm.common import text_or_empty
 
 #: Documents of one flight; a block is held in one task's memory.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4096
 #: Open documents that a flight leaves, at most; the landing tries 2 ** LANDING ways.
 LANDING = 12
 
@@ -139,6 +139,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     units = sizes.join(per_source, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     due = F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0))
     due = F.when(F.abs(due - F.round(due)) < _EPS, F.round(due)).otherwise(due)
+    units = units.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no long column with nulls
     units = units.withColumn("due", F.when(F.col("size") > 0, due).otherwise(0.0))
     units = units.withColumn("whole", F.floor("due")).withColumn("chance", F.col("due") - F.col("whole"))
     units = with_blocks(units.drop("due"), F.col("n_docs"), 0).drop("n_docs")
@@ -156,7 +157,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         flown = checkpoint(flights(with_blocks(left, F.col("open"), step).drop("open"), step, seed, last=False))
         settled, left = settled.unionByName(flown.filter(~open_rows)), flown.filter(open_rows)
     done = settled.unionByName(landed).withColumn("copies", (F.col("whole") + F.round("chance")).cast("long"))
-    return done.select("doc_id", "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return done.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,31 +78,32 @@ def _digest(shingles: np.ndarray) -> bytes:
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, digest (null for an empty set), keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"].tolist()
-            sets = [(len(s), _digest(s), signature(s)) for s in shingle_sets(texts, width)]
+            sets = [(len(s), _digest(s), signature(s)) for s in shingle_sets(batch["text"].to_pylist(), width)]
             keys = index_keys(np.array([s[2] for s in sets]).reshape(len(sets), PARTS)).view(np.int64)
-            yield pd.DataFrame({"doc_id": ids, "n_shingles": [s[0] for s in sets], "digest": [s[1] if s[0] else None for s in sets], "keys": list(keys)})
+            sizes, digests = pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] if s[0] else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, digests, pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """doc, shingles (packed 64-bit hashes) for the documents of members(doc)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch["text"].to_pylist()
             for begin, end in chunks(texts):
-                yield pd.DataFrame({"doc": batch["doc"].iloc[begin:end], "shingles": [s.tobytes() for s in shingle_sets(texts[begin:end], width)]})
+                packed = pa.array([s.tobytes() for s in shingle_sets(texts[begin:end], width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc"].slice(begin, end - begin), packed], names=["doc", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("doc"), text_or_empty(F.col(text_col)).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     wanted = rows.join(members.select("doc").distinct(), "doc", "left_semi")
-    return wanted.mapInPandas(run, f"doc {kind}, shingles binary")
+    return wanted.mapInArrow(run, f"doc {kind}, shingles binary")
 
 
 def forest(ids: list, sets: list[np.ndarray], labels: list, sides: list[int], similarity: int = SIMILARITY) -> list[tuple]:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayflux.llm.common import table
+from wayflux.llm import bpe, chat, langid, multisethash, quality, toxicity
+from wayflux.llm.common import crc_bucket, table
 from wayflux.llm.exactdup import exact_dedup
+from wayflux.llm.labelled import labelled_sample
 from wayflux.llm.mixing import mix
 from wayflux.llm.neardup import near_duplicates
 from wayflux.llm.urlfilter import judge_urls
@@ -16,11 +18,49 @@ from wayflux.llm.urlfilter import judge_urls
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
+#: Vocabulary of the tokenising queries: a file of the public tokenizers on the box.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = WORD_BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_bucket(F.col("doc_id"), 4) != 2)
+    found = docs.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), model.column(F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multisethash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", crc_bucket(F.col("doc_id"), 3) != 1, toxicity.LABEL_ROWS))
+    found = docs.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), model.column(F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.windows(turns))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,11 +74,27 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Discriminant:
+    return quality.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", crc_bucket(F.col("doc_id"), 5) != 0, quality.LABEL_ROWS))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), quality_model(spark, docs, sf_dir).column(F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_toxicity": op4_toxicity,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_bpe": op6_bpe,
     "op7_cube_mixing": op7_cube_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filters": op9_url_filters,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
