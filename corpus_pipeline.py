@@ -5,11 +5,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayflux.checkpoints import ensure_checkpoint_dir
+from wayflux.llm import bpe, quality
 from wayflux.llm.exactdup import drop_exact_copies
 from wayflux.llm.mixing import mixed_rows
 from wayflux.llm.neardup import drop_near_copies
+from wayflux.llm.queries import quality_model, vocabulary_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from sf_dir's labels, does not reject."""
+    model = quality_model(spark, docs, sf_dir)
+    return docs.filter(model.column(F.col("text")) >= quality.THRESHOLD)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +36,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed_rows(docs)
 
 
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, their number, and digests of the ids and of the text they decode to."""
+    return bpe.encode(docs, vocabulary_path(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
     ("MinHash near-dedup", near_stage),
     ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
 ]
 
 #: The stages learn, draw and tokenise; SQL cannot express them.
