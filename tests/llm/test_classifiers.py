@@ -43,7 +43,7 @@ def labelled(spark, rng, bad, n=240):
 
 
 def test_toxicity(spark):
-    insult = lambda rng, i: prose(rng, sorted(WORDS)[i % 3], 25) + rng.choice([" blorgan ", " Blorgox "]) + prose(rng, "en", 15)
+    insult = lambda rng, i: prose(rng, sorted(WORDS)[i % 3], 25)[:-1] + rng.choice([" blorgan ", " Blorgox "]) + prose(rng, sorted(WORDS)[i % 3], 15)
     docs, labels = labelled(spark, random.Random(2), insult)
     model = toxicity.fit(labelled_sample(docs, labels, "toxic", F.col("doc_id") % 3 != 1, 1000), 200)
     got = docs.select("doc_id", model.column(F.col("text")).alias("p")).filter("doc_id % 3 = 1").collect()

@@ -63,11 +63,11 @@ class Vocabulary:
         born: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            a, b, new = ids[left], ids[right], ids[left + right]
-            if max(born.get(a, -1), born.get(b, -1)) >= rank:
-                raise ValueError("a merge uses a token that only a later merge makes")
+            new = ids[left + right]
             born.setdefault(new, rank)
-            self.merges.setdefault(a << _SHIFT | b, (rank, new))
+            self.merges.setdefault(ids[left] << _SHIFT | ids[right], (rank, new))
+        if any(max(born.get(key >> _SHIFT, -1), born.get(key & (1 << _SHIFT) - 1, -1)) >= rank for key, (rank, _) in self.merges.items()):
+            raise ValueError("a merge uses a token that only a later merge makes")
         self.by_rank = {rank: (key >> _SHIFT, key & (1 << _SHIFT) - 1, new) for key, (rank, new) in self.merges.items()}
         self.keys = np.array(sorted(self.merges), np.int64)
         self.ranks = np.array([self.merges[k][0] for k in self.keys.tolist()], np.int64)
