@@ -115,7 +115,7 @@ def test_pigeonhole_finds_every_pair_within_the_distance():
 
 
 def test_forest_spans_all_links():
-    sets = list(shingle_sets([t for _, t in near_rows(4)]))
+    sets = list(shingle_sets([t or "" for _, t in near_rows(4)]))
     ids = [i for i, s in enumerate(sets) if len(s)]
     found = forest(ids, [sets[i] for i in ids], ids, [-1] * len(ids))
     assert len(found) == len(set(found)) and max(Counter(b for _, b in found).values(), default=0) < len(ids)

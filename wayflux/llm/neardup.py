@@ -179,14 +179,16 @@ def links(docs: DataFrame, representatives: DataFrame, id_col: str, text_col: st
     labelled = labelled.join(parts, ["home", "core"]).withColumn("part", _block(F.col("part_total")))
     labelled = checkpoint(labelled.withColumn("block", F.xxhash64("home", "core", "part")).select("doc", "home", "core", "block", "label", (F.col("total") <= BLOCK_SHINGLES).alias("whole")))
     at = shared.select("key", "doc").join(labelled, "doc")
-    apart = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(F.struct("block", "home", "core", "whole")).alias("blocks")).filter("lo <> hi")
-    pairs = apart.select(F.explode("blocks").alias("a"), "blocks").select("a", F.explode(F.filter("blocks", lambda b: b["block"] >= F.col("a.block"))).alias("b"))
+    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    # What a block has under a key is bounded by the block; only documents that share a key across two blocks travel.
+    held = checkpoint(at.join(open_keys, "key").groupBy("key", "block", "home", "core", "whole").agg(F.collect_set("doc").alias("docs")))
+    a, b = held.alias("a"), held.alias("b")
     done = (F.col("a.home") == F.col("b.home")) & (F.col("a.whole") | (F.col("a.core") & F.col("b.core")))
-    pairs = checkpoint(pairs.filter(~done).select(F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct())
-    held = at.select("block", "doc", "label").distinct()
-    left = pairs.join(held, pairs["x"] == held["block"]).select("x", "y", "doc", "label", F.when(F.col("x") == F.col("y"), -1).otherwise(0).alias("side"))
-    right = pairs.filter("x <> y").join(held, pairs["y"] == held["block"]).select("x", "y", "doc", "label", F.lit(1).alias("side"))
-    far = left.unionByName(right).join(sets, "doc").groupBy("x", "y").applyInPandas(_links, f"src {kind}, dst {kind}")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & ~done)
+    pairs = met.groupBy(F.col("a.block").alias("x"), F.col("b.block").alias("y")).agg(*[F.array_distinct(F.flatten(F.collect_set(f"{k}.docs"))).alias(k) for k in "ab"])
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(-1).alias("side"), F.col("a").alias("docs")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("docs")), F.struct(F.lit(1).alias("side"), F.col("b").alias("docs"))))
+    sent = pairs.select("x", "y", F.explode(sides).alias("s")).select("x", "y", "s.side", F.explode("s.docs").alias("doc"))
+    far = sent.join(labelled.select("doc", "label"), "doc").join(sets, "doc").groupBy("x", "y").applyInPandas(_links, f"src {kind}, dst {kind}")
     return near.unionByName(far)
 
 
