@@ -35,6 +35,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if seen == now or not now["n"]:
             break
         seen = now
-        links = checkpoint(_small_star(_large_star(links).distinct()).distinct())
+        links = checkpoint(_small_star(_large_star(links)).distinct())
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
