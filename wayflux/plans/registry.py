@@ -1,4 +1,40 @@
 """All queries of the network operators, by operator ID, and their SQL twins."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wayflux.plans.fixtures import expand, table, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Inputs:
+    """Tables and network views of one data folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def view(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name)
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of Inputs under an operator ID, with SQL over the same views if SQL can express it."""
+
+    def register(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = expand(sql)
+        return f
+
+    return register
+
+
+from wayflux.plans import disruption, links, movement, paths, tables  # noqa: E402, F401  (they register themselves)
