@@ -27,6 +27,8 @@ UNIFORM, SKETCH = 64, 128
 WORDS = 3
 #: Paragraphs whose vectors are held at once.
 _HELD = 4096
+#: Ranges of ids per partition; several small ones even out what hashing deals to each.
+RANGES = 4
 
 
 def _uniform(paragraphs: list[bytes]) -> np.ndarray:
@@ -129,7 +131,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = ids.agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    starts = np.array([s for s in _starts(ids, parts) if s != ends["least"] or ends["nulls"]], np.int64)
+    starts = np.array([s for s in _starts(ids, RANGES * parts) if s != ends["least"] or ends["nulls"]], np.int64)
     nulls, least = ends["nulls"], ends["least"]
 
     @F.pandas_udf("array<long>")
@@ -144,7 +146,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     dealt = rows.withColumn("to", F.explode(ranges("doc_id")))
     dealt = dealt.withColumn("ahead", F.col("to") >= (1 << 32)).withColumn("range", F.col("to") % (1 << 32)).drop("to")
-    dealt = dealt.repartition(max(1, len(starts) + 1), "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+    dealt = dealt.repartition(min(parts, len(starts) + 1), "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
