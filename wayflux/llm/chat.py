@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayflux.checkpoints import checkpoint
 from wayflux.llm.common import text_or_empty
 
 WINDOW_TOKENS, HISTORY_TOKENS = 512, 128
@@ -83,7 +84,7 @@ def windows(conversations: DataFrame, tokens: Callable[[Column], Column] = quart
     conversation; repeated rows are repeated turns. Other columns are not read.
     """
     turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), text_or_empty(F.col("text")).alias("text"))
-    placed = turn_spans(turns, tokens, window, history)
+    placed = checkpoint(turn_spans(turns, tokens, window, history))  # four branches read it
     spans = placed.filter(~F.col("system")).groupBy("conv_id", "span").agg(F.min("start").alias("begin"))
     spans = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "begin")
     same = F.col("conv_id").eqNullSafe(F.col("c"))
