@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayflux.functions import road
@@ -74,3 +74,24 @@ def event_bounds(damage: DataFrame) -> DataFrame:
     """Per flood the sum over links of each link's highest curve (curves exclude one another), and the middle."""
     upper = damage.groupBy("flood", "e_id").agg(F.max("cost_min").alias("cost_min"), F.max("cost_max").alias("cost_max"))
     return upper.groupBy("flood").agg(F.sum("cost_min").alias("cost_min"), F.sum("cost_max").alias("cost_max")).withColumn("cost_mid", (F.col("cost_min") + F.col("cost_max")) / 2)
+
+
+def bands_table(spark: SparkSession) -> DataFrame:
+    """flood, group, low, high, level: the depth bands as a table (open ends are null)."""
+    ends = [None, *map(float, road.BANDS), None]
+    rows = [(f, g, ends[k], ends[k + 1], level) for (f, g), levels in road.BAND_LEVELS.items() for k, level in enumerate(levels)]
+    return spark.createDataFrame(rows, "flood string, group string, low double, high double, band_level string")
+
+
+def with_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rows (flood, group, depth_cm) with the level of their band; the band table has a few dozen rows."""
+    d = F.col("depth_cm")
+    fits = (rows["flood"] == bands["flood"]) & (rows["group"] == bands["group"]) & (F.col("low").isNull() | (d >= F.col("low"))) & (F.col("high").isNull() | (d < F.col("high")))
+    return rows.join(bands, fits & d.isNotNull(), "left").select(rows["*"], "band_level")
+
+
+def legacy_damage(rows: DataFrame, unit: DataFrame) -> DataFrame:
+    """Least and highest over a link's curves of length times unit cost times fraction; ``unit`` is (class, lo, hi)."""
+    met = rows.join(unit, "class")
+    size = F.col("length_m") * F.col("fraction")
+    return met.groupBy("e_id").agg(F.max("depth_cm").alias("depth_cm"), F.min(size * F.col("lo")).alias("cost_min"), F.max(size * F.col("hi")).alias("cost_max"))

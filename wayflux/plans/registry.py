@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from wayflux.plans import disruption, links, movement, paths, places, scenarios, tables  # noqa: E402, F401  (they register themselves)
+from wayflux.plans import disruption, links, more, movement, paths, places, scenarios, tables  # noqa: E402, F401  (they register themselves)

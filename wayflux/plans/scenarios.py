@@ -131,7 +131,7 @@ def _streamed(i: Inputs, rows: DataFrame, plan, mode: str) -> DataFrame:
     return i.spark.read.parquet(f"{home}/out")
 
 
-@query("ST1", "select t.e_id, p.purpose, round(sum(o.flow * p.share), 6) as flow from {steps} as t join {od} as o on t.od_id = o.od_id join (values (0, 'work', 0.5), (0, 'home', 0.5), (1, 'work', 1.0), (2, 'unknown', 1.0)) as p(kind, purpose, share) on p.kind = o.od_id % 3 group by t.e_id, p.purpose")
+@query("ST1", "select t.e_id, p.purpose, round(sum(o.flow * cast(p.share as double)), 6) as flow from {steps} as t join {od} as o on t.od_id = o.od_id join (values (0, 'work', 0.5), (0, 'home', 0.5), (1, 'work', 1.0), (2, 'unknown', 1.0)) as p(kind, purpose, share) on p.kind = o.od_id % 3 group by t.e_id, p.purpose")
 def st1(i: Inputs) -> DataFrame:
     shares = i.spark.createDataFrame([(0, "work", 0.5), (0, "home", 0.5), (1, "work", 1.0)], "kind long, purpose string, share double")
     trips = odpfc(i).select((F.col("od_id") % 3).alias("kind"), "path", "flow")
