@@ -25,16 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayflux.llm.common import chunks, text_or_empty
+from wayflux.llm.common import slices, text_or_empty
 
 #: Words whose tokens a task remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 
 _SHIFT = 24
 #: From so many occurrences on, a pair's merges are applied as one array operation.
 _BULK = 32
 #: Characters of text whose new words share one index.
-_INDEXED_CHARS = 6_000_000
+_INDEXED_CHARS = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -219,9 +219,8 @@ def encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_toke
         next(encoder)
         decimal = [str(i) for i in range(len(vocab.tokens))]
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for begin, end in chunks(texts, _INDEXED_CHARS):
-                ids = encoder.send(texts[begin:end])
+            for begin, end in slices(batch["text"], _INDEXED_CHARS):
+                ids = encoder.send(batch["text"].slice(begin, end - begin).to_pylist())
                 out: dict = {}
                 if "n_tokens" in outputs:
                     out["n_tokens"] = [len(x) for x in ids]

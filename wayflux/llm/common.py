@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,24 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def slices(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of a text column of about ``limit`` bytes, so that only that much becomes Python strings at once."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield begin, end
+        begin = end
+
+
+def small_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Arrow batches of at most ``limit`` for this session, where it has Spark's default: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64MB").lower() in ("64mb", "64m", "67108864", "67108864b"):
+        spark.conf.set(name, limit)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit words (the finaliser of MurmurHash3); changes ``x`` in place."""
     x ^= x >> np.uint64(33)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayflux.llm import bpe, chat, langid, multisethash, quality, toxicity
-from wayflux.llm.common import crc_bucket, table
+from wayflux.llm.common import crc_bucket, small_batches, table
 from wayflux.llm.exactdup import exact_dedup
 from wayflux.llm.labelled import labelled_sample
 from wayflux.llm.mixing import mix
@@ -28,23 +28,28 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = langid.fit(docs, crc_bucket(F.col("doc_id"), 4) != 2)
     found = docs.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), model.column(F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multisethash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return multisethash.edited_fingerprints(documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", crc_bucket(F.col("doc_id"), 3) != 1, toxicity.LABEL_ROWS))
     found = docs.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), model.column(F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
@@ -58,15 +63,15 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode(documents(spark, sf_dir), vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(table(spark, sf_dir, "documents"))
+    found = exact_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -79,7 +84,7 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = docs.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), quality_model(spark, docs, sf_dir).column(F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
