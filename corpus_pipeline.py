@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayflux.checkpoints import ensure_checkpoint_dir
 from wayflux.llm import bpe, quality
+from wayflux.llm.common import small_batches
 from wayflux.llm.exactdup import drop_exact_copies
 from wayflux.llm.mixing import mixed_rows
 from wayflux.llm.neardup import drop_near_copies
@@ -17,6 +18,7 @@ from wayflux.llm.queries import quality_model, vocabulary_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from sf_dir's labels, does not reject."""
+    small_batches(spark)
     model = quality_model(spark, docs, sf_dir)
     return docs.filter(model.column(F.col("text")) >= quality.THRESHOLD)
 
@@ -28,6 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -38,6 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and digests of the ids and of the text they decode to."""
+    small_batches(spark)
     return bpe.encode(docs, vocabulary_path(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 

@@ -29,7 +29,7 @@ def shared(i: Inputs, name: str) -> str:
 def io3(i: Inputs) -> DataFrame:
     path = shared(i, "nations")
     i.table("nation").select("n_nationkey", "n_name").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return io.read_csv(i.spark, path, "n_nationkey bigint, n_name string", "ISO-8859-1")
+    return io.read_csv(i.spark, path, "n_nationkey int, n_name string", "ISO-8859-1")
 
 
 @query("IO4", "select l.e_id, l.road_label, cast(case l.road_label when 'road' then 1 when 'tunnel' then 13 end as double) as lo from {links} as l where l.road_label <> 'bridge'")

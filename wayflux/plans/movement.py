@@ -158,7 +158,7 @@ def a39(i: Inputs) -> DataFrame:
     return a.join(b, "k").groupBy("kind", "owner").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
 
 
-@query("A40", "select zone_id, yr, round(slope * yr + intercept, 4) as value from (select zone_id, regr_slope(value, yr) as slope, regr_intercept(value, yr) as intercept from {series} as s group by zone_id) q cross join (values (2030), (2050)) as y(yr)")
+@query("A40", "select zone_id, yr, round(slope * yr + intercept, 4) as value from (select zone_id, regr_slope(value, yr) as slope, regr_intercept(value, yr) as intercept from {series} as s group by zone_id) q cross join (values (cast(2030 as bigint)), (cast(2050 as bigint))) as y(yr)")
 def a40(i: Inputs) -> DataFrame:
     return M.linear_trend(i.view("series"), "zone_id", [2030, 2050]).withColumn("value", F.round("value", 4))
 
@@ -186,7 +186,7 @@ def j23(i: Inputs) -> DataFrame:
 @query("J24", "select s.zone_id, s.yr, d.scenario from {series} as s left join (select zone_id, yr, cast(value as decimal(20,2)) as v, row_number() over (order by zone_id, yr) as scenario from {series} as t where yr % 2 = 0) d on d.zone_id = s.zone_id and d.yr = s.yr and d.v = cast(s.value as decimal(20,2))")
 def j24(i: Inputs) -> DataFrame:
     s = i.view("series").withColumn("v", F.col("value").cast("decimal(20,2)"))
-    design = s.filter("yr % 2 = 0").select("zone_id", "yr", "v", F.row_number().over(Window.orderBy("zone_id", "yr")).alias("scenario"))  # a design table: few rows
+    design = s.filter("yr % 2 = 0").select("zone_id", "yr", "v", F.row_number().over(Window.orderBy("zone_id", "yr")).cast("long").alias("scenario"))  # a design table: few rows
     return s.join(design, ["zone_id", "yr", "v"], "left").select("zone_id", "yr", "scenario")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayflux.checkpoints import ensure_checkpoint_dir
@@ -111,10 +111,11 @@ def ml2(i: Inputs) -> DataFrame:
     return C.centre_scores(C.mixture_clusters(measures(i), ["length_m", "lanes"], 3)[1], ["length_m", "lanes"])
 
 
-@query("ML3", "select zone_id as x, min(y0 + (y - y0) * (-v0) / (value - v0)) as y from (select zone_id, cast(yr as double) as y, lag(cast(yr as double)) over w as y0, cast(value as double) - 6 as value, lag(cast(value as double) - 6) over w as v0, yr from {series} as s window w as (partition by zone_id order by yr)) q where v0 is not null and sign(v0) <> sign(value) group by zone_id")
+@query("ML3", "select zone_id as x, round(min_by(y0 + (y - y0) * (-v0) / (value - v0), y), 6) as y from (select zone_id, y, lag(y) over w as y0, value, lag(value) over w as v0 from (select zone_id, cast(yr as double) as y, value - avg(value) over (partition by zone_id) as value from {series} as s) d window w as (partition by zone_id order by y)) q where v0 is not null and sign(v0) <> sign(value) group by zone_id")
 def ml3(i: Inputs) -> DataFrame:
-    grid = i.view("series").select(F.col("zone_id").alias("x"), F.col("yr").cast("double").alias("y"), (F.col("value").cast("double") - 6).alias("value"))
-    return C.boundary(grid)
+    mean = F.avg("value").over(Window.partitionBy("zone_id"))
+    grid = i.view("series").select(F.col("zone_id").alias("x"), F.col("yr").cast("double").alias("y"), (F.col("value") - mean).alias("value"))
+    return C.boundary(grid).withColumn("y", F.round("y", 6))
 
 
 def _streamed(i: Inputs, rows: DataFrame, plan, mode: str) -> DataFrame:
