@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,11 +91,9 @@ def io2(i: Inputs) -> DataFrame:
 
 def _as_wkb(rows: DataFrame) -> DataFrame:
     """Test geometry: big-endian line strings from (e_id, flat coordinates)."""
-    import struct
-
-    @F.udf("binary")
-    def pack(flat: list) -> bytes:
-        return struct.pack(">BII", 0, 2, len(flat) // 2) + struct.pack(f">{len(flat)}d", *flat)
+    @F.pandas_udf("binary")
+    def pack(flat: pd.Series) -> pd.Series:
+        return flat.map(lambda v: struct.pack(">BII", 0, 2, len(v) // 2) + struct.pack(f">{len(v)}d", *v))
 
     return rows.select("e_id", pack("flat").alias("geometry"))
 
