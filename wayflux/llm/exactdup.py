@@ -60,7 +60,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A row that repeats id and text of another one goes too.
     """
     judged = exact_dedup(docs, id_col, text_col, salts)
-    stay = judged.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__stay")).distinct()
-    marked = docs.withColumn("__digest", sha256(ascii_lower(text_or_empty(F.col(text_col)))))
-    found = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__stay")), "left_semi")
-    return found.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    stay = judged.filter("kept").select(key("doc_id").alias("__key"), F.col("digest").alias("__digest"))
+    marked = docs.withColumn("__key", key(id_col)).withColumn("__digest", sha256(ascii_lower(text_or_empty(F.col(text_col)))))
+    # Plain equality on the same two columns: the rows of a key are together after the join, and stay there.
+    return marked.join(stay, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*docs.columns)

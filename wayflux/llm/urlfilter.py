@@ -32,9 +32,10 @@ def path_of(url: Column) -> Column:
 
 
 def compile_rule(host: str, path: str) -> str:
-    """An expression over host followed by path; it fits the host and its subdomains where the path begins alike."""
+    """An expression over host followed by path: the host and its subdomains (an empty one: all), the path from its start."""
     literal = lambda s: re.sub(r"([^A-Za-z0-9])", r"\\\1", s) if s.isascii() else "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return rf"^(?:[^/]*\.)?{literal(host)}{literal(path) if path else '(?=/|' + chr(92) + 'z)'}"
+    tail = literal(path) if path else r"(?=/|\z)"
+    return rf"^(?:[^/]*\.)?{literal(host)}{tail}" if host else rf"^[^/]*{tail}"
 
 
 def literal_tokens(host: str, path: str) -> list[str]:
