@@ -10,7 +10,7 @@ from wayflux.functions import road
 from wayflux.functions import text as S
 from wayflux.operators import damage, demand, links, paths, rail, routing, tables
 from wayflux.operators.graph import connected_components
-from wayflux.plans.registry import ORACLE_SQL, QUERIES
+from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
 from wayflux.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -149,3 +149,46 @@ def test_parameters_and_provenance(spark, tmp_path):
     for name in ("a", "b"):
         io.write_parquet(spark.range(3), str(tmp_path / name))
     assert io.read_with_source(spark, str(tmp_path / "a"), str(tmp_path / "b")).select("source_file").distinct().count() >= 2
+
+
+def cheapest(links, source):
+    """Costs from a source by trying every link as often as there are links."""
+    cost = {source: 0}
+    for _ in range(len(links)):
+        for _, a, b, w in links:
+            for u, v in ((a, b), (b, a)):
+                if u in cost and cost[u] + w < cost.get(v, float("inf")):
+                    cost[v] = cost[u] + w
+    return cost
+
+
+def network_of(spark):
+    links = [tuple(r) for r in Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "cast(round(length_m) as bigint)").collect()]
+    return links, {n: cheapest(links, n) for n in {x[1] for x in links} | {x[2] for x in links}}
+
+
+def test_every_pair_is_routed_at_least_cost(spark):
+    links, cost = network_of(spark)
+    ends, weight = {x[0]: set(x[1:3]) for x in links}, {x[0]: x[3] for x in links}
+    want = {tuple(r) for r in Inputs(spark, SF).view("od").select("origin_node", "destination_node").distinct().collect()}
+    found = QUERIES["G1"](spark, SF).collect()
+    assert {(r.origin_node, r.destination_node) for r in found} == want and len(found) == len(want)
+    for r in found:
+        at = r.origin_node
+        for e in r.path:
+            assert at in ends[e]
+            at = next(iter(ends[e] - {at}))
+        assert at == r.destination_node and r.cost == sum(weight[e] for e in r.path) == cost[r.origin_node][r.destination_node]
+
+
+def test_every_node_reaches_its_neighbourhood(spark):
+    _, cost = network_of(spark)
+    want = {(s, n): c for s, to in cost.items() for n, c in to.items() if n != s and c <= 4000}
+    assert {(r.source, r.node): r.cost for r in QUERIES["G2"](spark, SF).collect()} == want
+
+
+def test_search_and_relaxation_agree(spark):
+    k = Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "lanes as weight")  # many equal ways
+    od = spark.createDataFrame([(a, b) for a in (0, 7, 900, None) for b in (*range(40), 901, None)], "origin_node long, destination_node long")
+    rows_ = lambda f: sorted(map(str, f.select("origin_node", "destination_node", "cost", "path").collect()))
+    assert rows_(routing.least_cost_paths(k, od)) == rows_(routing.walked_paths(k, od))
