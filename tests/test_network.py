@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayflux.functions import road
 from wayflux.functions import text as S
-from wayflux.operators import damage, demand, links, paths, rail, routing, tables
+from wayflux.operators import assign, damage, demand, links, paths, rail, routing, tables
 from wayflux.operators.graph import connected_components
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
 from wayflux.sources import io
@@ -192,3 +192,30 @@ def test_search_and_relaxation_agree(spark):
     od = spark.createDataFrame([(a, b) for a in (0, 7, 900, None) for b in (*range(40), 901, None)], "origin_node long, destination_node long")
     rows_ = lambda f: sorted(map(str, f.select("origin_node", "destination_node", "cost", "path").collect()))
     assert rows_(routing.least_cost_paths(k, od)) == rows_(routing.walked_paths(k, od))
+
+
+def test_assignment_in_competition(spark):
+    # a-b-c: both pairs share link 1 (capacity 6); a longer way round takes what is left of a-c only.
+    net = [(1, "a", "b", 1, 6.0, 1.0, 2.0, 0.5), (2, "b", "c", 1, 100.0, 1.0, 2.0, 0.0), (3, "a", "d", 5, 4.0, 4.0, 1.0, 0.0), (4, "d", "c", 5, 100.0, 4.0, 1.0, 0.0)]
+    table = spark.createDataFrame(net, "e_id long, from_id string, to_id string, weight long, acc_capacity double, time_cost double, operating_cost double, toll_cost double")
+    table = table.selectExpr("*", "acc_capacity as current_capacity", "0.0D as acc_flow", "'M' as combined_label", "60.0D as initial_flow_speeds", "10.0D as min_flow_speeds", "1200.0D as breakpoint_flows")
+    od = spark.createDataFrame([("a", "b", 6), ("a", "c", 3), ("a", "c", 3), ("a", "z", 2)], "origin_node string, destination_node string, flow long")
+    paths_, isolated, _ = assign.assign(table, od)
+    found = {(r.origin_node, r.destination_node, tuple(r.path)): (round(r.flow, 6), r.time_cost, r.operating_cost, r.toll_cost) for r in paths_.collect()}
+    # Round 1: 12 want link 1, half of each goes. Round 2: a-d-c has 4 for the 3 + 3 left (a-b goes on from c by link 2).
+    assert found == {("a", "b", (1,)): (3, 1, 2, 0.5), ("a", "c", (1, 2)): (3, 2, 4, 0.5), ("a", "c", (3, 4)): (2, 8, 2, 0), ("a", "b", (3, 4, 2)): (2, 9, 4, 0)}
+    assert {(r.origin_node, r.destination_node): round(r.flow, 6) for r in isolated.collect()} == {("a", "z"): 2, ("a", "b"): 1, ("a", "c"): 1}
+    total = assign.total_costs(paths_).first()
+    assert [round(x, 6) for x in total] == [3 + 6 + 16 + 18, 6 + 12 + 4 + 8, 1.5 + 1.5, 43 + 30 + 3]
+
+
+def test_assignment_covers_the_whole_table(spark):
+    od = Inputs(spark, SF).view("od")
+    flow = od.agg({"flow": "sum"}).first()[0]
+    found = QUERIES["G4b"](spark, SF).cache()
+    assert abs(found.agg({"flow": "sum"}).first()[0] - flow) < 1e-3
+    assert found.select("origin_node", "destination_node").distinct().count() == od.select("origin_node", "destination_node").distinct().count()
+    one = QUERIES["G4"](spark, SF).cache()
+    assert one.select("origin_node").distinct().count() == od.select("origin_node").distinct().count() and one.filter("assigned > flow").isEmpty()
+    total = one.selectExpr("sum(assigned * time_cost)", "sum(assigned * operating_cost)", "sum(assigned * toll_cost)").first()
+    assert all(abs(a - b) < 1e-5 * max(b, 1) for a, b in zip(total, one.select("total_time_cost", "total_operating_cost", "total_toll_cost").first()))

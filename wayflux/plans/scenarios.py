@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayflux.checkpoints import ensure_checkpoint_dir
 from wayflux.operators import assign as A
 from wayflux.operators import clusters as C
+from wayflux.operators import links as L
 from wayflux.operators import paths as P
 from wayflux.operators import rail as R
 from wayflux.plans.links import ready
@@ -20,11 +21,16 @@ from wayflux.streaming import running
 def network(i: Inputs) -> DataFrame:
     """Links whose capacity is a few trips, so that the second round has work."""
     weight = F.round("length_m").cast("long").alias("weight")
-    return ready(i).select("e_id", "from_id", "to_id", weight, "combined_label", "initial_flow_speeds", "min_flow_speeds", "breakpoint_flows", F.lit(0.0).alias("acc_flow"), (F.col("lanes") * 10.0).alias("acc_capacity"), (F.col("lanes") * 10.0).alias("current_capacity"))
+    costs = ["time_cost", "operating_cost", F.col("average_toll_cost").alias("toll_cost")]
+    return L.with_costs(ready(i), "car").select("e_id", "from_id", "to_id", weight, *costs, "combined_label", "initial_flow_speeds", "min_flow_speeds", "breakpoint_flows", F.lit(0.0).alias("acc_flow"), (F.col("lanes") * 10.0).alias("acc_capacity"), (F.col("lanes") * 10.0).alias("current_capacity"))
 
 
 def demand(i: Inputs) -> DataFrame:
-    return i.view("od").filter("origin_node < 2").select("origin_node", "destination_node", "flow")
+    return i.view("od").select("origin_node", "destination_node", "flow")
+
+
+def rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
 
 
 def odpfc(i: Inputs) -> DataFrame:
@@ -39,14 +45,21 @@ def scenario_capacity(i: Inputs) -> DataFrame:
 @query("G4")
 def g4(i: Inputs) -> DataFrame:
     od = demand(i).groupBy("origin_node", "destination_node").agg(F.sum("flow").alias("flow")).withColumn("od_id", F.xxhash64("origin_node", "destination_node"))
-    return A.assignment_round(network(i), od)[0].select("origin_node", "destination_node", "flow", F.round("assigned", 6).alias("assigned"))
+    routed = A.assignment_round(network(i), od)[0]
+    total = A.total_costs(routed, "assigned")  # one row
+    out = routed.select("origin_node", "destination_node", "flow", "assigned", *A.COSTS).crossJoin(F.broadcast(total))
+    return rounded(out, "assigned", *A.COSTS, *total.columns)
 
 
 @query("G4b")
 def g4b(i: Inputs) -> DataFrame:
-    paths, isolated, _ = A.assign(network(i), demand(i), rounds=2)
-    routed = paths.groupBy("origin_node", "destination_node").agg(F.sum("flow").alias("flow")).withColumn("part", F.lit("routed"))
-    return routed.unionByName(isolated.withColumn("part", F.lit("isolated"))).withColumn("flow", F.round("flow", 6))
+    paths, isolated, _ = A.assign(network(i), demand(i))
+    total = A.total_costs(paths)  # one row
+    # A pair's costs are those of its flow over all its paths.
+    costs = [F.sum(F.col("flow") * F.col(c)).alias(c) for c in A.COSTS]
+    routed = paths.groupBy("origin_node", "destination_node").agg(F.sum("flow").alias("flow"), *costs).withColumn("part", F.lit("routed"))
+    out = routed.unionByName(isolated.withColumn("part", F.lit("isolated")), allowMissingColumns=True).crossJoin(F.broadcast(total))
+    return rounded(out, "flow", *A.COSTS, *total.columns)
 
 
 MOVED_SQL = "(select c.scenario, t.od_id, max(o.flow) - min(c.capacity) as displaced from {steps} as t join {od} as o on o.od_id = t.od_id join (select s.scenario, e_id, lanes * s.scenario * 0.5 as capacity from {links} as l cross join (values (0), (1), (2)) as s(scenario) where e_id % 9 = 0) c on c.e_id = t.e_id group by c.scenario, t.od_id having max(o.flow) - min(c.capacity) > 0)"
