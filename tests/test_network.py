@@ -219,3 +219,31 @@ def test_assignment_covers_the_whole_table(spark):
     assert one.select("origin_node").distinct().count() == od.select("origin_node").distinct().count() and one.filter("assigned > flow").isEmpty()
     total = one.selectExpr("sum(assigned * time_cost)", "sum(assigned * operating_cost)", "sum(assigned * toll_cost)").first()
     assert all(abs(a - b) < 1e-5 * max(b, 1) for a, b in zip(total, one.select("total_time_cost", "total_operating_cost", "total_toll_cost").first()))
+
+
+def test_rerouting_costs_by_scenario(spark):
+    # Two ways from a to c: by link 1 (1 km), or by links 2 and 3 (1 km each, with toll 3 on link 2).
+    net = [(1, "a", "c", 1000.0, 0.0), (2, "a", "b", 1000.0, 3.0), (3, "b", "c", 1000.0, 0.0)]
+    table = spark.createDataFrame(net, "e_id long, from_id string, to_id string, length_m double, average_toll_cost double")
+    table = table.selectExpr("*", "100.0D as acc_capacity", "100.0D as current_capacity", "if(e_id = 1, 10.0D, 0.0D) as acc_flow", "50.0D as acc_speed", "'M' as combined_label", "50.0D as initial_flow_speeds", "10.0D as min_flow_speeds", "1200.0D as breakpoint_flows")
+    trips = spark.createDataFrame([(1, "a", "c", [1], 10.0)], "od_id long, origin_node string, destination_node string, path array<long>, flow double")
+    capacity = spark.createDataFrame([(0, 1, 0.0), (1, 1, 4.0), (2, 1, 50.0), (3, 1, 0.0), (3, 3, 0.0)], "scenario int, e_id long, capacity double")
+    one = links.with_costs(table, "car").filter("e_id = 1").first()
+    found = {r.scenario: r for r in assign.rerouting_costs(table, trips, capacity).collect()}
+    at = lambda k, *names: [round(found[k][n], 6) for n in names]
+    assert sorted(found) == [0, 1, 2, 3]
+    assert at(0, "change_flow", "trips", "isolated") == [10, 1, 0] and at(1, "change_flow", "trips") == [6, 1] and at(2, "change_flow", "trips", "rerouting_cost") == [0, 0, 0]
+    for k, n in ((0, 10), (3, 10), (1, 6)):
+        assert at(k, "pre_time_cost", "pre_operating_cost", "pre_toll_cost") == [round(n * one.time_cost, 6), round(n * one.operating_cost, 6), 0]
+    # Closed: all ten go round, twice the length and the toll.
+    assert at(0, "rer_time_cost", "rer_operating_cost", "rer_toll_cost") == [round(10 * one.time_cost, 6), round(10 * one.operating_cost, 6), 30]
+    assert at(0, "rerouting_cost") == [round(10 * (one.time_cost + one.operating_cost) + 30, 6)]
+    # Freed capacity comes back, so the six find room where they were; without any way they are isolated.
+    assert at(1, "rerouting_cost", "isolated") == [0, 0] and at(3, "post_cost", "isolated") == [0, 10]
+
+
+def test_rerouting_takes_all_displaced_trips(spark):
+    want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12"](spark, SF).collect()}
+    found = QUERIES["G12_rerouting"](spark, SF).collect()
+    assert {r.scenario: (r.change_flow, r.trips) for r in found} == want
+    assert all(0 <= r.isolated <= r.change_flow and abs(r.rerouting_cost - r.rer_time_cost - r.rer_operating_cost - r.rer_toll_cost) < 1e-3 for r in found)

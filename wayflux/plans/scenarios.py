@@ -78,6 +78,15 @@ def g12(i: Inputs) -> DataFrame:
     return moved.groupBy("scenario").agg(F.sum("displaced").alias("change_flow"), F.count(F.lit(1)).alias("trips"))
 
 
+@query("G12_rerouting")
+def g12_rerouting(i: Inputs) -> DataFrame:
+    trips = odpfc(i).join(i.view("od").select("od_id", "origin_node", "destination_node"), "od_id")
+    state = ready(i).withColumn("acc_capacity", F.col("lanes") * 10.0).withColumn("current_capacity", F.col("lanes") * 10.0)
+    state = state.drop("acc_flow").join(P.flow_on_edges(trips).withColumnRenamed("flow", "acc_flow"), "e_id", "left").fillna({"acc_flow": 0.0})
+    out = A.rerouting_costs(L.with_flow_speed(state), trips, scenario_capacity(i))
+    return rounded(out, *[c for c in out.columns if c not in ("scenario", "trips")])
+
+
 @query("G13", "select t.e_id, cast(sum(o.flow) as double) / 2 as flow_now, cast(sum(case when o.od_id % 2 = 0 then o.flow end) as double) / 2 as flow_even from {steps} as t join {od} as o on o.od_id = t.od_id group by t.e_id")
 def g13(i: Inputs) -> DataFrame:
     od = i.view("od").select("od_id", F.col("flow").alias("now"), F.when(F.col("od_id") % 2 == 0, F.col("flow")).alias("even"))
