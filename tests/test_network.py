@@ -247,3 +247,20 @@ def test_rerouting_takes_all_displaced_trips(spark):
     found = QUERIES["G12_rerouting"](spark, SF).collect()
     assert {r.scenario: (r.change_flow, r.trips) for r in found} == want
     assert all(0 <= r.isolated <= r.change_flow and abs(r.rerouting_cost - r.rer_time_cost - r.rer_operating_cost - r.rer_toll_cost) < 1e-3 for r in found)
+
+
+def test_rail_flow_example(spark):
+    net = [(1, "a", "b", 1, 10.0), (2, "b", "c", 1, 4.0), (3, "a", "c", 5, 0.0), (4, "c", "d", 1, 8.0)]
+    table = spark.createDataFrame(net, "e_id long, from_id string, to_id string, weight long, capacity double")
+    od = spark.createDataFrame([("a", "c", 6, 10), ("a", "b", 2, 0), ("c", "a", 2, 2), ("a", "z", 9, 9)], "origin_node string, destination_node string, base long, future long")
+    found = {r.e_id: (r.flow_base, r.flow_future, r.gain_future, r.vc_base, r.vc_future) for r in rail.all_or_nothing(table, od, ["future"], "base").collect()}
+    assert found == {1: (5, 6, 1, 0.5, 0.6), 2: (4, 6, 2, 1, 1.5), 3: (0, 0, 0, None, None), 4: (0, 0, 0, 0, 0)}
+
+
+def test_rail_flow_of_all_origins_on_every_link(spark):
+    length = {(r.origin_node, r.destination_node): len(r.path) for r in QUERIES["G1"](spark, SF).collect()}
+    od = Inputs(spark, SF).view("od").collect()
+    found = QUERIES["G13_rail_flow"](spark, SF).collect()
+    assert len({r.e_id for r in found}) == len(found) == Inputs(spark, SF).view("links").count()
+    assert sum(r.flow_now for r in found) == sum(r.flow * length[r.origin_node, r.destination_node] for r in od) / 2
+    assert sum(r.flow_even for r in found) == sum(r.flow * length[r.origin_node, r.destination_node] for r in od if r.od_id % 2 == 0) / 2

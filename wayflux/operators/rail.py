@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayflux.operators import routing
+
 
 def running_days(trains: DataFrame, first: str, last: str, runs_on: Column) -> DataFrame:
     """A row per train and day between two dates (both included) on whose weekday (0 = Monday) it runs."""
@@ -39,3 +41,17 @@ def trains_between(stops: DataFrame, od: DataFrame) -> DataFrame:
     held = both.groupBy("origin", "destination").agg(F.sort_array(F.collect_set("train_id")).alias("trains"))
     empty = F.array().cast(held.schema["trains"].dataType)
     return od.join(held, ["origin", "destination"], "left").withColumn("trains", F.coalesce("trains", empty))
+
+
+def all_or_nothing(links: DataFrame, od: DataFrame, scenarios: list[str], baseline: str) -> DataFrame:
+    """e_id, and per scenario half the flow on each link, its gain over the baseline, and volume over capacity.
+
+    ``od`` has a column of flow per scenario and one for the baseline; pairs are routed once. Every link is there.
+    """
+    flows = [*dict.fromkeys([baseline, *scenarios])]
+    pairs = od.groupBy("origin_node", "destination_node").agg(*[F.sum(c).alias(c) for c in flows])
+    routed = routing.least_cost_paths(links, pairs).join(pairs, ["origin_node", "destination_node"])
+    edge = routed.select(F.explode("path").alias("e_id"), *flows).groupBy("e_id").agg(*[(F.sum(c).cast("double") / 2).alias(f"flow_{c}") for c in flows])
+    out = links.select("e_id", "capacity").join(edge, "e_id", "left").fillna(0.0, [f"flow_{c}" for c in flows])
+    out = out.withColumns({f"gain_{c}": F.col(f"flow_{c}") - F.col(f"flow_{baseline}") for c in scenarios})
+    return out.withColumns({f"vc_{c}": F.try_divide(f"flow_{c}", F.col("capacity").cast("double")) for c in flows}).drop("capacity")

@@ -96,6 +96,13 @@ def g13(i: Inputs) -> DataFrame:
     return wide.withColumnsRenamed({"now": "flow_now", "even": "flow_even"})
 
 
+@query("G13_rail_flow")
+def g13_rail_flow(i: Inputs) -> DataFrame:
+    links = i.view("links").select("e_id", "from_id", "to_id", F.round("length_m").cast("long").alias("weight"), (F.col("lanes") * 10.0).alias("capacity"))
+    od = i.view("od").select("origin_node", "destination_node", F.col("flow").alias("now"), F.when(F.col("od_id") % 2 == 0, F.col("flow")).otherwise(0).alias("even"))
+    return R.all_or_nothing(links, od, ["even"], "now")
+
+
 @query("G14")
 def g14(i: Inputs) -> DataFrame:
     times = R.stop_times(i.view("stops")).filter("seconds > 0").groupBy("from_station", "to_station").agg(F.min("seconds").alias("seconds"))
