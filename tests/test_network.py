@@ -10,6 +10,7 @@ from wayflux.functions import road
 from wayflux.functions import text as S
 from wayflux.operators import assign, damage, demand, links, paths, rail, routing, tables
 from wayflux.operators.graph import connected_components
+from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
 from wayflux.sources import io
 
@@ -264,3 +265,10 @@ def test_rail_flow_of_all_origins_on_every_link(spark):
     assert len({r.e_id for r in found}) == len(found) == Inputs(spark, SF).view("links").count()
     assert sum(r.flow_now for r in found) == sum(r.flow * length[r.origin_node, r.destination_node] for r in od) / 2
     assert sum(r.flow_even for r in found) == sum(r.flow * length[r.origin_node, r.destination_node] for r in od if r.od_id % 2 == 0) / 2
+
+
+def test_daily_use_of_all_stations(spark, duck):
+    sql = expand("select s.station, q.run_date, round(s.n * (cast(q.trains as double) / q.total) * 0.5, 0) as use_ from (select station, count(*) as n from {stops} as a group by station) s cross join (select run_date, trains, sum(trains) over () as total from (select run_date, count(distinct train_id) as trains from {stops} as b group by run_date) x) q")
+    got = QUERIES["M21_all_stations"](spark, SF)
+    want = duck.execute(sql).fetchall()
+    assert len({r[0] for r in want}) == 40 and rows([tuple(r) for r in got.collect()], got.columns) == rows(want, ["station", "run_date", "use_"])

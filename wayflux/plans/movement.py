@@ -208,7 +208,12 @@ def m20(i: Inputs) -> DataFrame:
 
 @query("M21", "select s.station, q.run_date, round(s.n * (cast(q.trains as double) / q.total) * 0.5, 0) as use_ from (select station, count(*) as n from {stops} as a group by station) s cross join (select run_date, trains, sum(trains) over () as total from (select run_date, count(distinct train_id) as trains from {stops} as b group by run_date) x) q where s.station < 5")
 def m21(i: Inputs) -> DataFrame:
-    yearly = i.view("stops").filter("station < 5").groupBy("station").agg(F.count(F.lit(1)).alias("n"))
+    return daily_use(i).filter("station < 5")
+
+
+@query("M21_all_stations")
+def daily_use(i: Inputs) -> DataFrame:
+    yearly = i.view("stops").groupBy("station").agg(F.count(F.lit(1)).alias("n"))
     daily = i.view("stops").groupBy("run_date").agg(F.countDistinct("train_id").alias("trains"))
     total = daily.agg(F.sum("trains").alias("total"))  # one row
     days = daily.crossJoin(F.broadcast(total))
