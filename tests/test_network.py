@@ -272,3 +272,9 @@ def test_daily_use_of_all_stations(spark, duck):
     got = QUERIES["M21_all_stations"](spark, SF)
     want = duck.execute(sql).fetchall()
     assert len({r[0] for r in want}) == 40 and rows([tuple(r) for r in got.collect()], got.columns) == rows(want, ["station", "run_date", "use_"])
+
+
+def test_whole_scan_and_all_written_partitions(spark, duck):
+    for name, sql in (("IO1_whole", "select o_orderkey, o_totalprice from orders"), ("IO12_whole", "select o_orderkey, o_custkey, o_orderkey % 7 as part from orders")):
+        got, want = QUERIES[name](spark, SF), duck.execute(sql)
+        assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), [d[0] for d in want.description])

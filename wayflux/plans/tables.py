@@ -25,6 +25,11 @@ def io1(i: Inputs) -> DataFrame:
     return io.read_parquet(i.spark, f"{i.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"]).filter("o_orderkey % 2 = 0")
 
 
+@query("IO1_whole")
+def io1_whole(i: Inputs) -> DataFrame:
+    return io.read_parquet(i.spark, f"{i.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])
+
+
 @query("IO7", "select c_custkey, cast(1 as bigint) as files from customer")
 def io7(i: Inputs) -> DataFrame:
     rows = io.read_with_source(i.spark, f"{i.sf_dir}/customer.parquet")
@@ -66,6 +71,13 @@ def io12(i: Inputs) -> DataFrame:
     return io.read_parquet(i.spark, path).filter("part = 3").drop("part")
 
 
+@query("IO12_whole")
+def io12_whole(i: Inputs) -> DataFrame:
+    path = shared(i, "orders")
+    io.write_parquet(i.table("orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7).alias("part")), path, ("part",))
+    return io.read_parquet(i.spark, path).withColumn("part", F.col("part").cast("long"))
+
+
 @query("IO13", "select s_suppkey, s_name from supplier")
 def io13(i: Inputs) -> DataFrame:
     path = shared(i, "suppliers")
