@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayflux.checkpoints import checkpoint
 
+#: Edges that make it worth to run one more task.
+TASK_EDGES = 1 << 16
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour (or itself) to its larger neighbours."""
@@ -26,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """node, component (the smallest node it reaches) for every node that an edge between two nodes touches.
 
     Alternating large-star and small-star steps; the edges between steps are checkpointed, so a lost executor costs
-    one step. Only two numbers a round reach the driver. Null ends and loops are left out.
+    one step. Only two numbers a round reach the driver, and the number of edges decides how many tasks a step is worth.
+    Null ends and loops are left out.
     """
     links = checkpoint(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct())
     seen = None
@@ -35,6 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if seen == now or not now["n"]:
             break
         seen = now
-        links = checkpoint(_small_star(_large_star(links)).distinct())
+        tasks = ceil(now["n"] / TASK_EDGES)  # no more than there are partitions
+        large = _large_star(links.coalesce(tasks)).coalesce(tasks)
+        links = checkpoint(_small_star(large).coalesce(tasks).distinct().coalesce(tasks))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
