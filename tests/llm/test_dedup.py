@@ -89,7 +89,8 @@ def near_rows(seed):
 
 @pytest.mark.parametrize("block", [1 << 18, 400])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr("wayflux.llm.neardup.BLOCK_SHINGLES", block)  # small blocks: homes are cut, the second pass runs
+    for bound in ("BLOCK_SHINGLES", "FAR_SHINGLES"):
+        monkeypatch.setattr(f"wayflux.llm.neardup.{bound}", block)  # small blocks: homes are cut, the second pass runs
     rows = near_rows(1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
     assert got == brute_components(rows)
@@ -100,7 +101,64 @@ def test_near_duplicates_edges(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str)
     assert got == sorted([(3, 3, True), (3, 3, True), (9, 3, False), (None, 3, False)], key=str)
     assert near_duplicates(docs.filter("false")).count() == 0
-    assert sorted(r.doc_id for r in drop_near_copies(docs.filter("doc_id is not null")).collect()) == [3, 3]
+    assert drop_near_copies(docs.filter("false")).count() == 0
+    assert [r.doc_id for r in drop_near_copies(docs).collect()] == [3]
+
+
+def brute_rows(rows):
+    """For each row its component (a number), the ids there, and whether the row alone may stay."""
+    of = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(of[k][1], []).append(i)
+    least = {c: min((i for i in v if i is not None), default=None) for c, v in ids.items()}
+    return [(i, of[k][0], of[k][1], least[of[k][1]] if of[k][0] else i) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [1 << 15, 300])
+def test_near_duplicates_with_repeated_and_null_ids(spark, monkeypatch, block):
+    for bound in ("BLOCK_SHINGLES", "FAR_SHINGLES"):
+        monkeypatch.setattr(f"wayflux.llm.neardup.{bound}", block)
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choice("klmnopqrst") + str(rng.randrange(900)) for _ in range(30)) for _ in range(4))
+    rows = [(3, a), (3, b), (12, a + " one"), (5, b + " tail"), (5, "quite another text of this id"), (None, c), (None, c + " x"), (None, c.upper()), (8, d), (8, d), (9, d + "  "), (7, None), (7, None), (None, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, n, least, i == least) for i, n, _, least in brute_rows(rows)), key=str)
+    left = [(r.doc_id, r.text) for r in drop_near_copies(frame(spark, rows)).collect()]
+    wordy = [(i, t) for i, t in left if t]
+    assert len(wordy) == len({c for _, n, c, _ in brute_rows(rows) if n}) and len(left) - len(wordy) == 3
+    assert sorted(wordy, key=str)[:3] == sorted([(3, a), (3, b), (5, "quite another text of this id")], key=str)
+
+
+def drifting(seed, n=150):
+    """Each text changes one word of the one before it, so that only the chain links first and last."""
+    rng = random.Random(seed)
+    text, out = [f"c{rng.randrange(2000)}" for _ in range(60)], []
+    for i in range(n):
+        text[rng.randrange(60)] = f"d{rng.randrange(10**6)}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+def crowd(seed, n=1200):
+    """Copies of one text with few to many changed words, of which all, some or none are within the similarity, and one line in all."""
+    rng = random.Random(seed)
+    base, line = [f"b{rng.randrange(5000)}" for _ in range(50)], "a very common line of eight plain words"
+    out = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randrange(9)):
+            text[rng.randrange(50)] = f"e{rng.randrange(10**6)}"
+        out.append((10_000 + i, " ".join(text) + " " + line))
+    return out + [(90_000 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(20)) + " " + line) for i in range(100)]
+
+
+@pytest.mark.parametrize("rows", [drifting(1), crowd(2)], ids=["chain", "crowd"])
+def test_near_duplicates_of_chains_and_crowds(spark, monkeypatch, rows):
+    monkeypatch.setattr("wayflux.llm.neardup.BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr("wayflux.llm.neardup.FAR_SHINGLES", 8000)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
 
 
 def test_pigeonhole_finds_every_pair_within_the_distance():

@@ -6,11 +6,12 @@ have ERRORS wrong components: for each choice of those, a key is made from the o
 two signatures that differ in fewer than (PARTS / CHUNK) * (ERRORS + 1) components share a key; at similarity 0.75 a
 pair shares none with a probability of about 1e-7.
 
-Documents that share a key are compared on their full sets, but never as a list of all pairs. Each is filed under its
-home, the most crowded document it shares a key with, and homes are cut into blocks of bounded size. A task holds one
-block, counts intersections of whole rows of documents at once, and returns a spanning forest of the links it finds;
-what is linked already is not compared again. A second pass compares blocks of keys whose documents are still in
-different components. Components of the forests are components of all links.
+Equal sets are one node. Nodes that share a key are compared on their full sets, but never as a list of all pairs. The
+pivot of a key is its smallest node, and each node is filed under its home, the smallest pivot of its keys. Homes are
+cut into blocks of bounded size, and the pivot goes to every block of its home. A task holds one block, counts
+intersections of whole rows of documents at once, and returns a spanning forest of the links it finds. The components
+of those links are labels. A second pass compares blocks that share a key whose nodes still have different labels; only
+such nodes travel, and what it returns are links between labels.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from wayflux.operators.graph import connected_components
 
 WIDTH, SIMILARITY = 5, 75
 PARTS, CHUNK, ERRORS = 48, 4, 1
-#: Shingles of the documents of a block; a task holds the sets of two blocks at most.
-BLOCK_SHINGLES = 1 << 18
+#: Shingles of the documents of a home's block, and of a block of the second pass; a task holds two of these at most.
+#: Each document counts ROW_SHINGLES more, which bounds the rows of a block of short documents.
+BLOCK_SHINGLES, FAR_SHINGLES, ROW_SHINGLES = 1 << 15, 1 << 17, 64
 
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,58 +78,94 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), keys."""
+    """doc_id, hash (of the text), n_shingles, digest (null for an empty set), signature (packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), _digest(s), signature(s)) for s in shingle_sets(batch["text"].to_pylist(), width)]
-            keys = index_keys(np.array([s[2] for s in sets]).reshape(len(sets), PARTS)).view(np.int64)
-            sizes, digests = pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] if s[0] else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, digests, pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+            sets = [(len(s), _digest(s), signature(s).astype(np.uint32).tobytes()) for s in shingle_sets(batch["text"].to_pylist(), width)]
+            sizes, full = pa.array([s[0] for s in sets], pa.int64()), [s[0] > 0 for s in sets]
+            packed = [pa.array([s[k] if f else None for s, f in zip(sets, full)], pa.binary()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["hash"], sizes, *packed], names=["doc_id", "hash", "n_shingles", "digest", "signature"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+    text = text_or_empty(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, hash long, n_shingles long, digest binary, signature binary")
+
+
+def filed_keys(nodes: DataFrame) -> DataFrame:
+    """node, key: every key of each signature of nodes(node, signature)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32)
+            keys = index_keys(packed.reshape(-1, PARTS).astype(np.uint64)).view(np.int64)
+            owners = np.repeat(batch["node"].to_numpy(zero_copy_only=False), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(keys.ravel())], names=["node", "key"])
+
+    return nodes.select("node", "signature").mapInArrow(run, "node long, key long")
+
+
+def _first() -> Column:
+    """What stands for a set: of the rows that have it the one with the smallest id (null last), then text hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "hash"))
 
 
 def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """doc, shingles (packed 64-bit hashes) for the documents of members(doc)."""
+    """members(node, first, home, block, hosted) with shingles (packed 64-bit hashes) of the text that ``first`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
             for begin, end in chunks(texts):
                 packed = pa.array([s.tobytes() for s in shingle_sets(texts[begin:end], width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["doc"].slice(begin, end - begin), packed], names=["doc", "shingles"])
+                kept = [batch[c].slice(begin, end - begin) for c in ("node", "home", "block", "hosted")]
+                yield pa.RecordBatch.from_arrays([*kept, packed], names=["node", "home", "block", "hosted", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("doc"), text_or_empty(F.col(text_col)).alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    wanted = rows.join(members.select("doc").distinct(), "doc", "left_semi")
-    return wanted.mapInArrow(run, f"doc {kind}, shingles binary")
+    def keyed(doc_id: Column, hashed: Column) -> list[Column]:
+        return [F.coalesce(doc_id, F.lit(0)).alias("id_"), hashed.alias("hash_")]  # one text hash is one text per id
+
+    text = text_or_empty(F.col(text_col))
+    rows = docs.select(*keyed(F.col(id_col), F.xxhash64(text)), text.alias("text")).dropDuplicates(["id_", "hash_"])
+    wanted = members.select(*keyed(F.col("first.doc_id"), F.col("first.hash")), "node", "home", "block", "hosted")
+    met = rows.join(wanted, ["id_", "hash_"]).select("node", "home", "block", "hosted", "text")
+    return met.mapInArrow(run, "node long, home long, block long, hosted long, shingles binary")
 
 
 def forest(ids: list, sets: list[np.ndarray], labels: list, sides: list[int], similarity: int = SIMILARITY) -> list[tuple]:
-    """A spanning forest of all links between documents of unlike labels (and of unlike sides, where sides are given).
+    """A spanning forest of all links between documents of unlike labels (and of unlike sides, 0 and 1, where given).
 
-    A document's intersections with all others are counted at once, through marks on the block's own vocabulary.
+    A document's intersections with all others are counted at once, through marks on the block's own vocabulary;
+    shingles of one document alone, or of one side alone, are left out of the counting.
     """
-    sizes = np.array([len(s) for s in sets])
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    vocabulary, places = np.unique(np.concatenate(sets), return_inverse=True)
-    marks = np.zeros(len(vocabulary), np.int32)
-    label, side = np.unique(np.array(labels, object).astype(str), return_inverse=True)[1], np.array(sides)
-    found = []
-    for p in np.lexsort((np.arange(len(ids)), -sizes)):
-        open_ = (label != label[p]) & (100 * np.minimum(sizes, sizes[p]) >= similarity * np.maximum(sizes, sizes[p]))
-        if side[p] >= 0:
-            open_ &= side != side[p]
+    sizes, side = np.array([len(s) for s in sets]), np.array(sides)
+    label = np.unique(np.array(labels, object).astype(str), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    vocabulary, places, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    across = (side >= 0).all()
+    if across:
+        first = np.bincount(places, weights=side[owner] == 0, minlength=len(vocabulary))
+        useful = ((first > 0) & (first < times))[places]
+        small = int((side == 0).sum() > (side == 1).sum())
+        rows, columns = np.flatnonzero(side == small), np.flatnonzero(side != small)
+    else:
+        useful = times[places] > 1
+        rows = columns = np.arange(len(sets))
+    places, owner = places[useful], owner[useful]
+    begins = np.searchsorted(owner, np.arange(len(sets) + 1))
+    counted = np.flatnonzero(np.isin(np.arange(len(sets)), columns) & (np.diff(begins) > 0))
+    others = np.isin(owner, counted)
+    targets, starts = places[others], np.searchsorted(owner[others], counted)
+    marks, found = np.zeros(len(vocabulary), np.int32), []
+    for p in rows[np.lexsort((rows, -sizes[rows]))]:
+        open_ = (label[counted] != label[p]) & (100 * np.minimum(sizes[counted], sizes[p]) >= similarity * np.maximum(sizes[counted], sizes[p]))
         if not open_.any():
             continue
-        own = places[begins[p] : begins[p] + sizes[p]]
+        own = places[begins[p] : begins[p + 1]]
         marks[own] = 1
-        shared = np.add.reduceat(marks[places], begins)
+        shared = np.add.reduceat(marks[targets], starts)
         marks[own] = 0
-        for q in np.flatnonzero(open_ & (100 * shared >= similarity * (sizes + sizes[p] - shared))):
+        for q in counted[open_ & (100 * shared >= similarity * (sizes[counted] + sizes[p] - shared))]:
             if label[q] != label[p]:
                 found.append((ids[p], ids[q]))
                 label[label == label[q]] = label[p]
@@ -135,61 +173,90 @@ def forest(ids: list, sets: list[np.ndarray], labels: list, sides: list[int], si
 
 
 def _links(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.drop_duplicates(["doc", "side"]).sort_values("doc")
-    ids = block["doc"].tolist()
-    found = forest(ids, [np.frombuffer(s, np.uint64) for s in block["shingles"]], block["label"].tolist(), block["side"].tolist())
-    return pd.DataFrame({"src": pd.Series([x for x, _ in found], dtype=block["doc"].dtype), "dst": pd.Series([x for _, x in found], dtype=block["doc"].dtype)})
-
-
-def _block(total: Column) -> Column:
-    """Number of the block that a document falls into when ``total`` shingles are dealt over blocks."""
-    return F.pmod(F.xxhash64("doc"), F.ceil(total / BLOCK_SHINGLES))
-
-
-def links(docs: DataFrame, representatives: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """src, dst: links between representatives(doc, n_shingles, keys) that span the same components as all links."""
-    kind = representatives.schema["doc"].dataType.simpleString()
-    filed = representatives.select("doc", F.explode("keys").alias("key"))
-    crowded = filed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
-    shared = checkpoint(filed.join(crowded, "key"))
-    degree = shared.groupBy("doc").agg(F.sum("crowd").alias("degree"))
-    ranked = shared.join(degree, "doc").select("key", "doc", "degree")
-    first = F.max(F.struct("degree", (-F.col("doc")).alias("order"), "doc"))
-    pivots = ranked.groupBy("key").agg(first.alias("p")).select("key", F.col("p.doc").alias("pivot"), F.col("p.degree").alias("pivot_degree"))
-    homes = ranked.join(pivots, "key").groupBy("doc").agg(F.max(F.struct("pivot_degree", (-F.col("pivot")).alias("order"), "pivot")).alias("h")).select("doc", F.col("h.pivot").alias("home"))
-    members = homes.join(representatives.select("doc", "n_shingles"), "doc")
-    totals = members.groupBy("home").agg(F.sum("n_shingles").alias("total"))
-    members = checkpoint(members.join(totals, "home"))
-    sets = checkpoint(full_sets(docs, members, id_col, text_col, width))
-
-    # First pass: the blocks of each home, its own document in every one of them.
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES)
-    own = members.select("home", _block(F.col("total")).alias("block"), "doc")
-    hosts = totals.select("home", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("home").alias("doc"))
-    tasks = own.unionByName(hosts).join(sets, "doc").select("home", "block", "doc", F.col("doc").alias("label"), F.lit(-1).alias("side"), "shingles")
-    near = checkpoint(tasks.groupBy("home", "block").applyInPandas(_links, f"src {kind}, dst {kind}"))
-
-    # Second pass: keys whose documents are still in different components.
-    labels = connected_components(near)
-    label = F.coalesce("component", "doc")
-    labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "home", "total", "n_shingles", label.alias("label"))
-    of_home = labels.select(F.col("node").alias("home"), F.col("component").alias("home_label"))
-    labelled = labelled.join(of_home, "home", "left").withColumn("core", F.col("label") == F.coalesce("home_label", "home")).drop("home_label")
-    parts = labelled.groupBy("home", "core").agg(F.sum("n_shingles").alias("part_total"))
-    labelled = labelled.join(parts, ["home", "core"]).withColumn("part", _block(F.col("part_total")))
-    labelled = checkpoint(labelled.withColumn("block", F.xxhash64("home", "core", "part")).select("doc", "home", "core", "block", "label", (F.col("total") <= BLOCK_SHINGLES).alias("whole")))
-    at = shared.select("key", "doc").join(labelled, "doc")
-    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    # What a block has under a key is bounded by the block; only documents that share a key across two blocks travel.
-    held = checkpoint(at.join(open_keys, "key").groupBy("key", "block", "home", "core", "whole").agg(F.collect_set("doc").alias("docs")))
+    """The block's links as stars: each label that a link reaches, with the smallest one it is joined with."""
+    block = block.drop_duplicates(["node", "side"]).sort_values("node")
+    labels, root = block["label"].tolist(), {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for p, q in forest(list(range(len(block))), [np.frombuffer(s, np.uint64) for s in block["shingles"]], labels, block["side"].tolist()):
+        low, high = sorted((top(labels[p]), top(labels[q])))
+        root[high] = low
+    return pd.DataFrame([(x, top(x)) for x in root], columns=["src", "dst"], dtype="int64")
+
+
+def _weight() -> Column:
+    return F.col("n_shingles") + ROW_SHINGLES
+
+
+def home_blocks(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, first, digest, home, total, block, hosted for every node that shares a key: its block, and of how many it is the pivot."""
+    homes = shared.groupBy("node").agg(F.min("pivot").alias("home"))
+    members = homes.join(nodes.select("node", "first", "digest", "n_shingles"), "node")
+    totals = members.groupBy("home").agg(F.sum(_weight()).alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES))
+    hosts = totals.select(F.col("home").alias("node"), F.col("blocks").alias("hosted"))
+    members = members.join(hosts, "node", "left").fillna({"hosted": 0})
+    block = F.pmod(F.xxhash64("node"), "blocks")
+    return checkpoint(members.join(totals, "home").select("node", "first", "digest", "home", "total", block.alias("block"), "hosted"))
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """src, dst: links within the blocks of each home, its pivot in every one of them."""
+    own = F.array(F.struct("home", "block"))
+    hosted = F.when(F.col("hosted") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("hosted") - 1), lambda b: F.struct(F.col("node").alias("home"), b.alias("block"))))
+    places = F.explode(F.array_distinct(F.concat(own, F.coalesce(hosted, F.array().cast("array<struct<home:bigint,block:bigint>>")))))
+    tasks = sets.select(places.alias("at"), "node", F.col("node").alias("label"), F.lit(-1).alias("side"), "shingles").select("at.*", "node", "label", "side", "shingles")
+    return tasks.groupBy("home", "block").applyInPandas(_links, "src long, dst long")
+
+
+def far_links(shared: DataFrame, labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst: links between labels, from blocks that share a key whose nodes have different labels."""
+    at = shared.select("key", "node").join(labelled, "node")
+    held = at.groupBy("key", "block", "home", "whole").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(F.struct("node", "label")).alias("docs"))
+    open_keys = held.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("key")
+    held = held.join(open_keys, "key")
     a, b = held.alias("a"), held.alias("b")
-    done = (F.col("a.home") == F.col("b.home")) & (F.col("a.whole") | (F.col("a.core") & F.col("b.core")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & ~done)
+    done = (F.col("a.home") == F.col("b.home")) & F.col("a.whole")
+    alike = (F.col("a.lo") == F.col("b.hi")) & (F.col("a.hi") == F.col("b.lo"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & ~done & ~alike)
+    # What a block has under a key is bounded by the block.
     pairs = met.groupBy(F.col("a.block").alias("x"), F.col("b.block").alias("y")).agg(*[F.array_distinct(F.flatten(F.collect_set(f"{k}.docs"))).alias(k) for k in "ab"])
-    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(-1).alias("side"), F.col("a").alias("docs")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("docs")), F.struct(F.lit(1).alias("side"), F.col("b").alias("docs"))))
-    sent = pairs.select("x", "y", F.explode(sides).alias("s")).select("x", "y", "s.side", F.explode("s.docs").alias("doc"))
-    far = sent.join(labelled.select("doc", "label"), "doc").join(sets, "doc").groupBy("x", "y").applyInPandas(_links, f"src {kind}, dst {kind}")
-    return near.unionByName(far)
+    one = F.array(F.struct(F.lit(-1).alias("side"), F.col("a").alias("docs")))
+    two = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("docs")), F.struct(F.lit(1).alias("side"), F.col("b").alias("docs")))
+    sent = pairs.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), one).otherwise(two)).alias("s")).select("x", "y", "s.side", F.explode("s.docs").alias("d")).select("x", "y", "side", "d.*")
+    return sent.join(sets.select("node", "shingles"), "node").groupBy("x", "y").applyInPandas(_links, "src long, dst long")
+
+
+def components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """digest, keeper for every node of nodes(node, first, digest, n_shingles, signature) that shares a key: its component's least ``first``."""
+    filed = filed_keys(nodes)
+    crowded = filed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("node").alias("pivot")).filter("crowd > 1")
+    shared = checkpoint(filed.join(crowded.select("key", "pivot"), "key"))
+    members = home_blocks(nodes, shared)
+    sets = checkpoint(full_sets(docs, members, id_col, text_col, width))
+    labels = connected_components(near_links(sets)).withColumnRenamed("component", "label")
+    # Linked nodes and single ones in blocks of their own: most of the linked ones of a home have one label.
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / FAR_SHINGLES))
+    labelled = members.join(labels, "node", "left").withColumn("block", F.xxhash64("home", F.col("label").isNull(), part))
+    labelled = labelled.select("node", "first", "digest", "home", "block", F.coalesce("label", "node").alias("label"), (F.col("total") <= BLOCK_SHINGLES).alias("whole"))
+    labelled = checkpoint(labelled)
+    joined = connected_components(far_links(shared, labelled.drop("first", "digest"), sets)).withColumnRenamed("node", "label")
+    classes = labelled.join(joined, "label", "left").select("digest", "first", F.coalesce("component", "label").alias("component"))
+    keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))
+    return classes.join(keepers, "component").select("digest", "keeper")
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """doc_id, hash, n_shingles, keeper(lone, doc_id, hash) for every row: what stays of its component; null for an empty set."""
+    sketches = checkpoint(sketch(docs, id_col, text_col, width))
+    nodes = sketches.filter("digest is not null").groupBy("digest", "n_shingles", "signature").agg(_first().alias("first"))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = components(docs, nodes, id_col, text_col, width)
+    every = sketches.drop("signature").join(nodes.select("digest", "first"), "digest", "left").join(found, "digest", "left")
+    return every.select("doc_id", "hash", "n_shingles", F.coalesce("keeper", "first").alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -199,20 +266,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than ``width`` words has its whole sequence as its one shingle, one without words (or with a null text) has none
     and is linked with nothing. Documents are linked when 100 * shared >= 75 * united shingles. ``component_id`` is the
     smallest id reachable. Equal sets are joined first and stand in for each other, so groups of copies cost one row.
-    Rows that repeat an id take the smallest component of that id's texts only if these are equal; a null id belongs
-    to its set's component and is never kept before an id. Other columns are not read.
+    Rows are told apart by their sets, so rows that repeat an id with different texts each belong to their own text's
+    component; repeated rows have equal results. A null id belongs to its text's component and is never kept before an
+    id; a component of null ids alone has a null ``component_id``. Texts of any length are read whole, an empty table
+    gives no rows, and other columns are not read, whatever their names.
     """
-    sketches = checkpoint(sketch(docs, id_col, text_col, width))
-    full = sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    representatives = checkpoint(full.groupBy("digest", "n_shingles", "keys").agg(F.min("doc_id").alias("doc")))
-    spanning = links(docs, representatives, id_col, text_col, width)
-    components = connected_components(spanning).withColumnRenamed("node", "doc")
-    classes = representatives.select("digest", "doc").join(components, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    found = sketches.drop("keys").join(classes, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = judged(docs, id_col, text_col, width)
+    component = F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with all its columns; of each group of near copies the document with the smallest id stays."""
-    gone = near_duplicates(docs, id_col, text_col, width).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """``docs`` with all its columns; of each group of near copies one row stays.
+
+    That is the row with the smallest id (null last), of equal ids the one with the smallest text hash; of rows that
+    repeat both, any one. Rows without words all stay. Other cases are those of ``near_duplicates``.
+    """
+    found = checkpoint(judged(docs, id_col, text_col, width))
+    stays = F.col("keeper").isNull() | (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("hash") == F.col("keeper.hash")))
+    gone = found.filter(~stays).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    hashed = F.xxhash64(text_or_empty(docs[text_col]))
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (hashed == gone["__hash"]), "left_anti")
+    twice = found.filter(stays & F.col("keeper").isNotNull()).groupBy("doc_id", "hash").count().filter("count > 1")
+    if twice.isEmpty():
+        return left
+    # Only tables with repeated rows come here: rows without words stay, of the others one per id and text.
+    words = F.regexp_like(text_or_empty(F.col(text_col)), F.lit(r"[^\x20\x09-\x0D]"))
+    names = left.columns
+    hashed = left.withColumns({"__hash": F.xxhash64(text_or_empty(F.col(text_col))), "__words": words})
+    once = hashed.filter("__words").dropDuplicates([id_col, "__hash"])
+    return once.unionByName(hashed.filter("not __words")).select(*names)
