@@ -193,14 +193,14 @@ def _weight() -> Column:
 
 
 def home_blocks(nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """node, first, digest, home, total, block, hosted for every node that shares a key: its block, and of how many it is the pivot."""
+    """node, first, home, total, block, hosted for every node that shares a key: its block, and of how many it is the pivot."""
     homes = shared.groupBy("node").agg(F.min("pivot").alias("home"))
-    members = homes.join(nodes.select("node", "first", "digest", "n_shingles"), "node")
+    members = homes.join(nodes.select("node", "first", "n_shingles"), "node")
     totals = members.groupBy("home").agg(F.sum(_weight()).alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES))
     hosts = totals.select(F.col("home").alias("node"), F.col("blocks").alias("hosted"))
     members = members.join(hosts, "node", "left").fillna({"hosted": 0})
     block = F.pmod(F.xxhash64("node"), "blocks")
-    return checkpoint(members.join(totals, "home").select("node", "first", "digest", "home", "total", block.alias("block"), "hosted"))
+    return checkpoint(members.join(totals, "home").select("node", "first", "home", "total", block.alias("block"), "hosted"))
 
 
 def near_links(sets: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def far_links(shared: DataFrame, labelled: DataFrame, sets: DataFrame) -> DataFr
 
 
 def components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """digest, keeper for every node of nodes(node, first, digest, n_shingles, signature) that shares a key: its component's least ``first``."""
+    """node, keeper for every node of nodes(node, first, n_shingles, signature) that shares a key: its component's least ``first``."""
     filed = filed_keys(nodes)
     crowded = filed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("node").alias("pivot")).filter("crowd > 1")
     shared = checkpoint(filed.join(crowded.select("key", "pivot"), "key"))
@@ -241,12 +241,12 @@ def components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wi
     # Linked nodes and single ones in blocks of their own: most of the linked ones of a home have one label.
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / FAR_SHINGLES))
     labelled = members.join(labels, "node", "left").withColumn("block", F.xxhash64("home", F.col("label").isNull(), part))
-    labelled = labelled.select("node", "first", "digest", "home", "block", F.coalesce("label", "node").alias("label"), (F.col("total") <= BLOCK_SHINGLES).alias("whole"))
+    labelled = labelled.select("node", "first", "home", "block", F.coalesce("label", "node").alias("label"), (F.col("total") <= BLOCK_SHINGLES).alias("whole"))
     labelled = checkpoint(labelled)
-    joined = connected_components(far_links(shared, labelled.drop("first", "digest"), sets)).withColumnRenamed("node", "label")
-    classes = labelled.join(joined, "label", "left").select("digest", "first", F.coalesce("component", "label").alias("component"))
+    joined = connected_components(far_links(shared, labelled.drop("first"), sets)).withColumnRenamed("node", "label")
+    classes = labelled.join(joined, "label", "left").select("node", "first", F.coalesce("component", "label").alias("component"))
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))
-    return classes.join(keepers, "component").select("digest", "keeper")
+    return classes.join(keepers, "component").select("node", "keeper")
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -255,8 +255,8 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> D
     nodes = sketches.filter("digest is not null").groupBy("digest", "n_shingles", "signature").agg(_first().alias("first"))
     nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
     found = components(docs, nodes, id_col, text_col, width)
-    every = sketches.drop("signature").join(nodes.select("digest", "first"), "digest", "left").join(found, "digest", "left")
-    return every.select("doc_id", "hash", "n_shingles", F.coalesce("keeper", "first").alias("keeper"))
+    of_set = nodes.select("node", "digest", "first").join(found, "node", "left").select("digest", F.coalesce("keeper", "first").alias("keeper"))
+    return sketches.drop("signature").join(of_set, "digest", "left").select("doc_id", "hash", "n_shingles", "keeper")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
