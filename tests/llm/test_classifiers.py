@@ -1,6 +1,10 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wayflux.llm import langid, quality, toxicity
@@ -53,6 +57,90 @@ def test_toxicity(spark):
     assert 0 <= toxicity.fit(labelled_sample(docs, labels, "toxic", F.lit(False), 10)).score("x") <= 1
 
 
+def plain_buckets(text):
+    """Every n-gram's bucket, one n-gram at a time."""
+    text = f" {text} ".lower()
+    for n in toxicity.ORDERS:
+        for i in range(len(text) - n + 1):
+            code = 0
+            for c in text[i : i + n]:
+                code = (code * 0x01000193 + ord(c)) % 2**32
+            yield (code + n) * 0x9E3779B1 % 2**32 >> (32 - toxicity.BUCKET_BITS)
+
+
+def test_toxicity_against_plain_python(spark):
+    rng = random.Random(7)
+    docs, labels = labelled(spark, rng, lambda rng, i: prose(rng, "en", 12)[:-1] + " blorgan " + prose(rng, "en", 9), 60)
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), 1000)
+    counts, size = toxicity.ratios(sample)
+    want = [Counter(), Counter()]
+    for row in sample.collect():
+        want[row.label].update(set(plain_buckets(row.text)))
+    often = [b for b in want[0] | want[1] if want[0][b] + want[1][b] >= 3]
+    assert size.tolist() == [45, 15] and all(counts[c, b] == want[c][b] for c in (0, 1) for b in often) and counts.sum() == sum(want[c][b] for c in (0, 1) for b in often)
+    model = toxicity.fit(sample, 300)
+    for text in ("", "x", "the blorgan and the river", prose(rng, "de", 300) + " Blorgan."):
+        seen = Counter(plain_buckets(text))
+        rate = {b: math.log1p(c * toxicity.PER / sum(seen.values())) for b, c in seen.items()}
+        margin = model.intercept + sum(model.weights[model.place[b]] * v for b, v in rate.items() if model.place[b] < len(model.weights))
+        assert abs(model.score(text) - 1 / (1 + math.exp(-margin))) < 1e-9
+
+
+def test_toxicity_on_rows_that_were_held_out(spark):
+    from wayflux.llm.queries import op4_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
+    got = op4_toxicity(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+    held = [(labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels]
+    caught = sum(a and b for a, b in held)
+    assert caught >= 0.9 * sum(a for a, _ in held) and caught >= 0.9 * sum(b for _, b in held)
+
+
+@pytest.mark.parametrize("span", [7, 50, 1000])
+def test_spans_of_language_identification_change_nothing(monkeypatch, span):
+    rng = random.Random(span)
+    texts = ["", "a", " a", "a ", "!!", "".join(rng.choice("ab é1 \n") for _ in range(3000))]
+    whole = [Counter(np.concatenate(list(langid.grams(t)) or [[]]).tolist()) for t in texts]
+    monkeypatch.setattr(langid, "_SPAN", span)
+    assert whole == [Counter(np.concatenate(list(langid.grams(t)) or [[]]).tolist()) for t in texts]
+
+
+def plain_mixture(model, text):
+    """Expectation maximisation one n-gram at a time, for the language set grown by penalised likelihood."""
+    seen = Counter(int(b) for g in langid.grams(text) for b in g)
+    chance = {b: [float(x) for x in model.chance[b]] for b in seen}
+    total, names = sum(seen.values()), range(len(model.names))
+    likely = lambda mix: sum(c * math.log(sum(p * chance[b][k] for k, p in mix.items())) for b, c in seen.items())
+    mix = {max(names, key=lambda k: likely({k: 1.0})): 1.0}
+    while len(mix) < len(names):
+        rise = {k: sum(c * chance[b][k] / sum(p * chance[b][j] for j, p in mix.items()) for b, c in seen.items()) / total for k in names if k not in mix}
+        new = max(rise, key=rise.get)
+        trial = {**{k: p * 0.8 for k, p in mix.items()}, new: 0.2}
+        for _ in range(langid.STEPS):
+            part = dict.fromkeys(trial, 0.0)
+            for b, c in seen.items():
+                whole = sum(p * chance[b][k] for k, p in trial.items())
+                for k, p in trial.items():
+                    part[k] += c * p * chance[b][k] / whole
+            trial = {k: v / total for k, v in part.items()}
+        if rise[new] <= 1 or (likely(trial) - likely(mix)) / langid.OVERLAP <= math.log(total) + 1:
+            break
+        mix = trial
+    return {model.names[k]: p for k, p in mix.items()}
+
+
+def test_language_mixtures_against_plain_python(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, lang), lang) for i in range(60) for lang in [sorted(WORDS)[i % 3]]]
+    model = langid.fit(frame(spark, rows), F.lit(True))
+    for text in (prose(rng, "en", 60) + prose(rng, "es", 40), prose(rng, "de", 5), prose(rng, "de", 90) + prose(rng, "en", 60) + prose(rng, "es", 50), "zzz"):
+        got, want = model.mixture(text), plain_mixture(model, text)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
 def test_long_texts_have_the_hits_of_their_parts(monkeypatch):
     text = " ".join(f"w{i}" for i in range(3000))
     whole = toxicity.present(text)

@@ -41,20 +41,25 @@ def _is_letter() -> np.ndarray:
 def grams(text: str) -> Iterator[np.ndarray]:
     """Buckets of the n-grams of a lower-cased text, whose runs of other characters than letters count as one gap."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    before, after_letter = _GAP, False  # what the next span's n-grams may begin with
     for begin in range(0, len(codes), _SPAN):
-        part = codes[max(0, begin - ORDERS[-1]) : begin + _SPAN]
+        part = codes[begin : begin + _SPAN]
         letter = _is_letter()[part]
-        part = np.where(letter, part, np.uint32(0))
-        part = np.concatenate([_GAP, part[letter | np.concatenate([[False], letter[:-1]])], _GAP])
-        hashed = np.zeros(len(part), np.uint32)
+        kept = np.where(letter, part, np.uint32(0))[letter | np.concatenate([[after_letter], letter[:-1]])]
+        after_letter = letter[-1]
+        ends = [_GAP] if begin + _SPAN >= len(codes) else []
+        symbols = np.concatenate([before, kept, *ends])
+        hashed = np.zeros(len(symbols), np.uint32)
         for n in range(1, ORDERS[-1] + 1):
-            if len(part) < n:
+            if len(symbols) < n:
                 break
-            hashed = hashed[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] + np.uint32(1)
+            hashed = hashed[: len(symbols) - n + 1] * np.uint32(0x01000193) + symbols[n - 1 :] + np.uint32(1)
             if n in ORDERS:
-                inner = part[(n - 1) // 2 : len(part) - n // 2] != 0
+                inner = symbols[(n - 1) // 2 : len(symbols) - n // 2] != 0
+                inner[: max(0, len(before) - n + 1)] = False  # yielded with the span before
                 # The high bits of a product by an odd constant depend on all bits of the polynomial.
                 yield ((hashed[inner] + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+        before = symbols[-(ORDERS[-1] - 1) :]
 
 
 def tally(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +77,17 @@ def tally(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Languages:
-    """n-gram probabilities of each language: buckets x languages."""
+    """n-gram probabilities of each language: buckets x languages, 256 KB for each language."""
 
     def __init__(self, names: list[str], chance: np.ndarray) -> None:
-        self.names, self.chance = names, chance
+        self.names, self.chance = names, chance.astype(np.float32)
 
     def mixture(self, text: str) -> dict[str, float]:
         """Proportions of the languages that a text is found to use; empty without a letter or a learned language."""
         at, counts = tally(text)
         if not len(at) or not self.names:
             return {}
-        chance, total = self.chance[at], counts.sum()
+        chance, total = self.chance[at].astype(float), counts.sum()
         chosen = [int(np.argmax(counts @ np.log(chance)))]
         share, mixed = np.ones(1), chance[:, chosen[0]]
         reached = counts @ np.log(mixed)
@@ -113,7 +118,12 @@ class Languages:
         return name, min(1.0, max(0.0, found[name]))
 
     def column(self, text: Column) -> Column:
-        """struct(lang, score) of a text column; a null text counts as empty."""
+        """struct(lang, score) of a text column, of whole texts of any length.
+
+        A null text counts as empty; a text without a letter is ``und`` with score 0, as is every text where no
+        language was learned. Of equal proportions the first language by name is given. Equal texts get equal results,
+        no other column is read, and an empty table gives no rows.
+        """
         shared = SparkSession.active().sparkContext.broadcast(self)
 
         @F.pandas_udf("lang string, score double")
@@ -126,8 +136,10 @@ class Languages:
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Languages:
     """n-gram models of the languages of those rows of ``docs`` that ``learn`` admits and whose language is known.
 
-    About ``per_language`` documents of each language are drawn by hash. Counts are added up by Spark; what reaches
-    the driver is one number per language and bucket that occurs.
+    About ``per_language`` documents of each language are drawn by the hash of their ids (rows that repeat an id are
+    drawn together and count as often; a null id is one id). Null texts count as empty, empty ones add nothing, long
+    ones are counted whole. Without rows no language is learned. Other columns are not read. Counts are added up by
+    Spark; what reaches the driver is one number per language and bucket that occurs.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(F.col(text_col)).alias("text"))
     rows = rows.filter(learn & F.col("lang").isNotNull())

@@ -115,7 +115,11 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
     def column(self, text: Column) -> Column:
-        """The score of a text column."""
+        """The score of a text column: 0 to 1, of whole texts of any length; a null text counts as empty.
+
+        An empty text is scored as the ordinary prose that stands beside every text. Equal texts score alike, no other
+        column is read, and an empty table gives no rows.
+        """
         model = self
 
         @F.pandas_udf("double")
@@ -126,7 +130,11 @@ class Discriminant:
 
 
 def fit(sample: DataFrame) -> Discriminant:
-    """A discriminant from rows (text, label); one sum per class and pair of statistics reaches the driver."""
+    """A discriminant from rows (text, label) of a bounded sample; one sum per class and pair of statistics reaches the driver.
+
+    Texts are not null there and labels are 0 or 1; rows that repeat count as often, empty and very long texts count
+    like others, other columns are not read. With fewer than two rows of a class every text scores the share of label 1.
+    """
     d = len(FEATURES)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

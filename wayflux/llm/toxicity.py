@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed character n-grams, present or not. Spark counts in how many labelled documents of each class each
-occurs; the log-count ratio of a feature scales it, and the FEATURES ratios that stand out most against chance are the
-model's vocabulary. A logistic regression over the scaled features is fitted to a bounded sample.
+Features are hashed character n-grams, by how often they occur among PER n-grams of the text (log(1 + rate)), so that
+a long text does not have every feature. Spark counts in how many labelled documents of each class each occurs; the
+log-count ratio of a feature scales it, and the FEATURES ratios that stand out most against chance are the model's
+vocabulary. A logistic regression over the scaled features is fitted to a bounded sample.
 Wang and Manning, Baselines and bigrams: simple, good sentiment and topic classification, ACL 2012.
 """
 
@@ -15,13 +16,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayflux.checkpoints import checkpoint
 from wayflux.llm.common import text_or_empty
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 18
-FEATURES = 1500
+#: Features of the model and the penalty on their weights, chosen on a split of the rows it may learn from.
+FEATURES, PENALTY = 2000, 0.1
+#: n-grams among which a feature's occurrences are counted.
+PER = 1000.0
 #: Label rows to learn from, at most.
 LABEL_ROWS = 24_000
+#: Rows of the sample that a task works on.
+TASK_ROWS = 500
 THRESHOLD = 0.7
 #: Characters of a text that are hashed at once.
 _SPAN = 1 << 18
@@ -54,18 +61,24 @@ class LinearModel:
         self.place, self.weights, self.intercept = place, weights, intercept
 
     def score(self, text: str) -> float:
-        hits = self.hits(text)
-        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[hits].sum(), -500, 500))))
+        at, value = self.features(text)
+        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[at] @ value, -500, 500))))
 
-    def hits(self, text: str) -> np.ndarray:
-        """Chosen features that occur in ``text``."""
-        seen = np.zeros(len(self.weights) + 1, bool)
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Chosen features that occur in ``text``, and their values."""
+        counts, total = np.zeros(len(self.weights) + 1, np.int64), 0
         for b in buckets(text):
-            seen[self.place[b]] = True
-        return np.flatnonzero(seen[:-1])
+            counts += np.bincount(self.place[b], minlength=len(counts))
+            total += len(b)
+        at = np.flatnonzero(counts[:-1])
+        return at, np.log1p(counts[at] * (PER / max(total, 1)))
 
     def column(self, text: Column) -> Column:
-        """The score of a text column."""
+        """The score of a text column: 0 to 1, of whole texts of any length; a null text counts as empty.
+
+        An empty text has the score of the intercept. Equal texts score alike, no other column is read, and an empty
+        table gives no rows.
+        """
         shared = SparkSession.active().sparkContext.broadcast(self)
 
         @F.pandas_udf("double")
@@ -89,8 +102,7 @@ def ratios(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(total.sum(0))
         yield pd.DataFrame({"bucket": np.append(at, -1), "clean": np.append(total[0, at], docs[0]), "toxic": np.append(total[1, at], docs[1])})
 
-    # The sample is bounded, so are its partitions; fewer of them make fewer partial counts.
-    found = sample.coalesce(24).mapInPandas(counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = sample.mapInPandas(counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # A bucket met once or twice cannot stand out; dropping it here only shortens what reaches the driver.
     found = found.filter("bucket < 0 or clean + toxic >= 3").toPandas()
     counts, docs = np.zeros((2, size)), np.zeros(2)
@@ -101,8 +113,15 @@ def ratios(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts, docs
 
 
-def fit(sample: DataFrame, features: int = FEATURES) -> LinearModel:
-    """A model from rows (text, label). What reaches the driver is bounded by the buckets and the sample."""
+def fit(sample: DataFrame, features: int = FEATURES, bound: int = LABEL_ROWS) -> LinearModel:
+    """A model from rows (text, label) of a sample of about ``bound`` rows, as ``labelled_sample`` draws it.
+
+    Texts are not null there and labels are 0 or 1; rows that repeat count as often, empty and very long texts count
+    like others, other columns are not read. Without rows of both classes the model scores every text alike. What
+    reaches the driver is bounded by the buckets and the sample, which is written once and dealt over tasks of
+    TASK_ROWS rows, however many partitions it was found in.
+    """
+    sample = checkpoint(sample.select("text", "label").repartition(bound // TASK_ROWS + 1))
     counts, docs = ratios(sample)
     size = 1 << BUCKET_BITS
     if min(docs) < 1:
@@ -117,20 +136,25 @@ def fit(sample: DataFrame, features: int = FEATURES) -> LinearModel:
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"hits": [blank.hits(t).astype(np.int32).tobytes() for t in batch["text"]], "label": batch["label"]})
+            rows = [blank.features(t) for t in batch["text"]]
+            yield pd.DataFrame({"at": [a.astype(np.int32).tobytes() for a, _ in rows], "value": [v.astype(np.float32).tobytes() for _, v in rows], "label": batch["label"]})
 
-    rows = sample.mapInPandas(found, "hits binary, label int").toPandas().sort_values(["hits", "label"])
-    hits = [np.frombuffer(h, np.int32) for h in rows["hits"]]
-    weights, intercept = logistic(hits, rows["label"].to_numpy(float), ratio[chosen])
+    rows = sample.mapInPandas(found, "at binary, value binary, label int").toPandas().sort_values(["at", "value", "label"])
+    at = [np.frombuffer(a, np.int32) for a in rows["at"]]
+    value = np.frombuffer(b"".join(rows["value"]), np.float32).astype(float)
+    weights, intercept = logistic(at, value, rows["label"].to_numpy(float), ratio[chosen])
     return LinearModel(place, weights, intercept)
 
 
-def logistic(hits: list[np.ndarray], label: np.ndarray, scale: np.ndarray, penalty: float = 0.3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights over 0/1 features and an intercept: logistic loss, L2 penalty in the scaled space, Adam on all rows."""
-    owner = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    column = np.concatenate(hits) if hits else np.zeros(0, np.int32)
-    n, d = len(hits), len(scale)
-    value = scale[column]
+def logistic(at: list[np.ndarray], value: np.ndarray, label: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights over features and an intercept: logistic loss, L2 penalty in the scaled space, Adam on all rows.
+
+    ``at`` has the features of each row, ``value`` their values, one row after another.
+    """
+    owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    column = np.concatenate(at) if at else np.zeros(0, np.int32)
+    n, d = len(at), len(scale)
+    value = value * scale[column]
     # The intercept is the last of the parameters.
     x = np.append(np.zeros(d), np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
     mean, square = np.zeros(d + 1), np.zeros(d + 1)
