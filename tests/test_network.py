@@ -1,6 +1,8 @@
 """Worked examples, invariants, and every registered network query against its SQL twin."""
 
+import random
 import re
+import statistics
 
 import duckdb
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayflux.functions import road
 from wayflux.functions import text as S
-from wayflux.operators import assign, damage, demand, links, paths, rail, routing, tables
+from wayflux.operators import assign, clusters, damage, demand, links, paths, rail, recovery, routing, tables
 from wayflux.operators.graph import connected_components
 from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
@@ -40,7 +42,7 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= (name != "J18")  # no two of the few squares overlap there
+    assert QUERIES[name](spark, SF).count() >= 1
 
 
 def test_flow_on_edges_example(spark):
@@ -100,7 +102,7 @@ def test_least_cost_paths(spark):
     od = spark.createDataFrame([("a", "d"), ("d", "a"), ("a", "a"), ("a", "y")], "origin_node string, destination_node string")
     found = {(r.origin_node, r.destination_node): (r.cost, r.path) for r in routing.least_cost_paths(table, od).collect()}
     assert found == {("a", "d"): (3, [1, 2, 4]), ("d", "a"): (3, [4, 2, 1]), ("a", "a"): (0, []), ("a", "y"): (None, [])}
-    near = {r.node for r in routing.reachable(table, od.select(F.col("origin_node").alias("source")).filter("source = 'a'"), 2).collect()}
+    near = {r.node for r in routing.reachable(table, od.select(F.col("origin_node").alias("source"), F.lit(2).alias("cutoff")).filter("source = 'a'")).collect()}
     assert near == {"b", "c"}
 
 
@@ -184,7 +186,7 @@ def test_every_pair_is_routed_at_least_cost(spark):
 
 def test_every_node_reaches_its_neighbourhood(spark):
     _, cost = network_of(spark)
-    want = {(s, n): c for s, to in cost.items() for n, c in to.items() if n != s and c <= 4000}
+    want = {(s, n): c for s, to in cost.items() for n, c in to.items() if n != s and c <= 2500 + s % 4 * 500}
     assert {(r.source, r.node): r.cost for r in QUERIES["G2"](spark, SF).collect()} == want
 
 
@@ -244,7 +246,7 @@ def test_rerouting_costs_by_scenario(spark):
 
 
 def test_rerouting_takes_all_displaced_trips(spark):
-    want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12"](spark, SF).collect()}
+    want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12_displaced"](spark, SF).collect()}
     found = QUERIES["G12_rerouting"](spark, SF).collect()
     assert {r.scenario: (r.change_flow, r.trips) for r in found} == want
     assert all(0 <= r.isolated <= r.change_flow and abs(r.rerouting_cost - r.rer_time_cost - r.rer_operating_cost - r.rer_toll_cost) < 1e-3 for r in found)
@@ -267,6 +269,65 @@ def test_rail_flow_of_all_origins_on_every_link(spark):
     assert sum(r.flow_even for r in found) == sum(r.flow * length[r.origin_node, r.destination_node] for r in od if r.od_id % 2 == 0) / 2
 
 
+def test_speeds_from_timetable_and_shortest_paths(spark):
+    net = [(1, 1, 2, 100), (2, 2, 3, 100), (3, 1, 3, 900), (4, 3, 4, 300)]
+    table = spark.createDataFrame(net, "e_id long, from_id long, to_id long, weight long")
+    runs = [(1, 3, 20), (1, 3, 10), (1, 2, 10), (2, 1, 10), (3, 4, 4), (4, 3, 30), (1, 9, 5), (2, 3, 0), (2, 3, 1)]
+    times = spark.createDataFrame(runs, "from_station long, to_station long, seconds long")
+    # 1-3 takes 200 m in 10 s; 3-4 in 4 s and 2-3 in 1 s are above the cap; 1-9 has no path.
+    assert {r.e_id: (r.fast, r.middle) for r in rail.edge_speeds(table, times).collect()} == {1: (20, 15), 2: (20, 20), 4: (10, 10)}
+
+
+def test_station_speeds_against_plain_python(spark):
+    links, _ = network_of(spark)
+    data = Inputs(spark, SF)
+    fastest = {}
+    for r in rail.stop_times(data.view("stops")).filter("seconds > 0").collect():
+        pair = r.from_station, r.to_station
+        fastest[pair] = min(fastest.get(pair, r.seconds), r.seconds)
+    routed = {(r.origin_node, r.destination_node): r for r in routing.least_cost_paths(spark.createDataFrame(links, "e_id long, from_id long, to_id long, weight long"), spark.createDataFrame(list(fastest), "origin_node long, destination_node long")).collect()}
+    speeds = {}
+    for pair, seconds in fastest.items():
+        if routed[pair].path and routed[pair].cost / seconds <= 50:
+            for e in routed[pair].path:
+                speeds.setdefault(e, set()).add(routed[pair].cost / seconds)
+    got = {r.e_id: (r.fast, r.middle) for r in QUERIES["G14"](spark, SF).collect()}
+    assert got and got == {e: (round(max(v), 6), round(statistics.median(v), 6)) for e, v in speeds.items()}
+
+
+def test_recovery_of_each_level(spark):
+    rate = {(r.level, r.day): r.rate for r in recovery.recovery_rates(spark.createDataFrame([(v,) for v in (*road.LEVELS, "minor")], "level string")).collect()}
+    assert len(rate) == 4 * 111 and all(rate[v, 0] == 0 and rate[v, 110] == 1 for v in road.LEVELS[1:])
+    for level, first, until, step in (("minor", 10, 15, 0.167), ("moderate", 21, 45, 0.04), ("extensive", 36, 73, 0.0263), ("severe", 51, 110, 0.0167)):
+        so_far = 0
+        for day in range(1, 111):
+            so_far += step if first <= day <= until else 0
+            assert rate[level, day] == round(so_far, 2)
+
+
+def test_mixture_of_clear_clusters(spark):
+    rng = random.Random(3)
+    points = [(i, 100.0 * (i % 3) + rng.gauss(0, 1), 50.0 * (i % 3 == 1) + rng.gauss(0, 1)) for i in range(300)]
+    table = spark.createDataFrame(points, "e_id long, a double, b double")
+    labelled, centres = clusters.mixture_clusters(table, ["a", "b"])
+    found = {r.e_id: r.cluster for r in labelled.collect()}
+    held = {c: {i % 3 for i in found if found[i] == c} for c in set(found.values())}
+    assert len(found) == 300 and len(held) >= 3 and all(len(kinds) == 1 for kinds in held.values())
+    assert all(abs(r.a - 100 * (r.a // 100 + (r.a % 100 > 50))) < 5 for r in centres.collect() if r.cluster in held)
+
+
+def test_sample_is_the_same_in_every_run(spark):
+    once, again = (sorted(map(str, QUERIES["PF20"](spark, SF).collect())) for _ in range(2))
+    assert once and once == again
+
+
+def test_speeds_fill_from_neighbours(spark):
+    chain = [(k, k, k + 1, 10.0 if k == 0 else None) for k in range(5)] + [(9, 20, 21, None), (10, 5, 6, 30.0)]
+    table = spark.createDataFrame(chain, "e_id long, from_node long, to_node long, speed double")
+    # Round 1: edges 1 and 4 take their neighbour's; round 2: 2 and 3; the lone edge 9 takes the lowest.
+    assert {r.e_id: r.speed for r in assign.filled_speeds(table).collect()} == {0: 10, 1: 10, 2: 10, 3: 30, 4: 30, 9: 10, 10: 30}
+
+
 def test_daily_use_of_all_stations(spark, duck):
     sql = expand("select s.station, q.run_date, round(s.n * (cast(q.trains as double) / q.total) * 0.5, 0) as use_ from (select station, count(*) as n from {stops} as a group by station) s cross join (select run_date, trains, sum(trains) over () as total from (select run_date, count(distinct train_id) as trains from {stops} as b group by run_date) x) q")
     got = QUERIES["M21_all_stations"](spark, SF)

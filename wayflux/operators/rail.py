@@ -43,6 +43,20 @@ def trains_between(stops: DataFrame, od: DataFrame) -> DataFrame:
     return od.join(held, ["origin", "destination"], "left").withColumn("trains", F.coalesce("trains", empty))
 
 
+def edge_speeds(links: DataFrame, times: DataFrame, most: float = 50.0) -> DataFrame:
+    """e_id, fast, middle: the greatest and the median of the distinct speeds (m/s) of trains over each link.
+
+    times(from_station, to_station, seconds) are runs between stations, which are nodes of links(e_id, from_id, to_id,
+    weight in metres). The fastest run of a pair takes its shortest path: length by time is the speed on every link of
+    it. Speeds above ``most`` and pairs without a path count for nothing.
+    """
+    fastest = times.filter("seconds > 0").groupBy(F.col("from_station").alias("origin_node"), F.col("to_station").alias("destination_node")).agg(F.min("seconds").alias("seconds"))
+    found = routing.least_cost_paths(links, fastest).join(fastest, ["origin_node", "destination_node"])
+    speeds = found.withColumn("speed", F.col("cost") / F.col("seconds")).filter(F.col("speed") <= most)
+    speeds = speeds.select(F.explode("path").alias("e_id"), "speed").distinct()
+    return speeds.groupBy("e_id").agg(F.max("speed").alias("fast"), F.median("speed").alias("middle"))
+
+
 def all_or_nothing(links: DataFrame, od: DataFrame, scenarios: list[str], baseline: str) -> DataFrame:
     """e_id, and per scenario half the flow on each link, its gain over the baseline, and volume over capacity.
 

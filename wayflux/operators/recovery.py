@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def recovery_rates(days: DataFrame, last: int = 110) -> DataFrame:
-    """level, day, rate of levels(level, days): equal daily steps up to full capacity, two decimals."""
-    daily = days.withColumn("day", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(last).cast("long"))))
-    step = F.when(F.col("day") <= F.col("days"), F.lit(1.0) / F.col("days")).otherwise(0.0)
-    return daily.select("level", "day", F.round(F.sum(step).over(Window.partitionBy("level").orderBy("day")), 2).alias("rate"))
+# Level of damage, first and last day of its recovery, share of the capacity that each of those days restores.
+CURVES = [("minor", 10, 15, "0.1670"), ("moderate", 21, 45, "0.0400"), ("extensive", 36, 73, "0.0263"), ("severe", 51, 110, "0.0167")]
+DAYS = 110
+
+
+def recovery_rates(levels: DataFrame, curves: list[tuple[str, int, int, str]] = CURVES, last: int = DAYS) -> DataFrame:
+    """level, day (0 to ``last``), rate (two decimals) of levels(level): a share a day from the first to the last day of its curve.
+
+    A level without a curve has no rows. Steps are decimal, so that no rounding adds up.
+    """
+    day = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    known = levels.sparkSession.createDataFrame(curves, "level string, first long, until long, step string")
+    daily = levels.select("level").distinct().join(known, "level").withColumn("day", day)
+    gone = F.least(F.greatest(F.col("day") - F.col("first") + 1, F.lit(0)), F.col("until") - F.col("first") + 1)
+    return daily.select("level", "day", F.round(F.col("step").cast("decimal(6,4)") * gone.cast("decimal(4,0)"), 2).cast("double").alias("rate"))
 
 
 def design_long(design: DataFrame) -> DataFrame:

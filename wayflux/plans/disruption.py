@@ -44,7 +44,7 @@ def pf11(i: Inputs) -> DataFrame:
     return s.select("e_id", "index_i", "index_j", "length_m", F.round(road.flood_speed((F.col("depth_surface_cm") % 45).cast("double"), F.lit(60.0)), 6).alias("max_speed"))
 
 
-@query("PF12")
+@query("PF12", "select e_id, index_i, index_j, round_even(case when d < 300 and v >= 10 then v else 0.0 end, 1) as max_speed from (select *, (d * d * 0.0009 - d * 0.5529 + 86.9448) / 1.60934 as v from (select e_id, index_i, index_j, cast(depth_surface_cm % 400 as double) as d from {segments} as s) a) b")
 def pf12(i: Inputs) -> DataFrame:
     s = i.view("segments")
     return s.select("e_id", "index_i", "index_j", road.legacy_flood_speed((F.col("depth_surface_cm") % 400).cast("double"), F.lit(10.0)).alias("max_speed"))
@@ -158,9 +158,9 @@ def m14(i: Inputs) -> DataFrame:
     return hit.select("e_id", "scenario", F.round(F.col("lanes") * 1000 * F.col("rate") * F.col("scenario") / 6.0, 6).alias("capacity"))
 
 
-@query("M15", "select e_id, day, max(case when day = 0 then 0 else least(day, case when e_id % 20 = 0 then 5 else 2 end) * lanes * 10 end) over (partition by e_id order by day) as capacity from {links} as l cross join (select unnest(range(6)) as day) d where lanes > 4")
+@query("M15", "select e_id, day, max(case when day = 0 then 0 else least(day, case when e_id % 20 = 0 then 5 else 2 end) * lanes * 10 end) over (partition by e_id order by day) as capacity from {links} as l cross join (select unnest(range(6)) as day) d")
 def m15(i: Inputs) -> DataFrame:
-    hit = i.view("links").filter("lanes > 4").withColumn("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    hit = i.view("links").withColumn("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
     rate = F.least("day", F.when(F.col("e_id") % 20 == 0, 5).otherwise(2)) * F.col("lanes") * 10
     so_far = Window.partitionBy("e_id").orderBy("day")
     return hit.select("e_id", "day", F.max(F.when(F.col("day") == 0, 0).otherwise(rate)).over(so_far).alias("capacity"))

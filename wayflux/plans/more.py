@@ -13,8 +13,8 @@ from wayflux.operators import damage as D
 from wayflux.operators import links as L
 from wayflux.operators import paths as P
 from wayflux.operators import recovery as C
-from wayflux.plans.disruption import LEVELLED_SQL, UNITS, fractions, levelled, longer
-from wayflux.plans.links import LABELLED_SQL, flowing, labelled
+from wayflux.plans.disruption import FRACTION_SQL, LEVELLED_SQL, UNITS, fractions, levelled, longer
+from wayflux.plans.links import FLOWING_SQL, LABELLED_SQL, flowing, labelled
 from wayflux.plans.places import lines
 from wayflux.plans.registry import Inputs, query
 from wayflux.plans.tables import io2
@@ -87,10 +87,11 @@ def w8(i: Inputs) -> DataFrame:
     return i.view("sites").select("node_id", F.col("kind").alias("zone_id"), F.bround(n.cast("double") / total, 2).alias("share"))
 
 
-@query("M13")
+@query("M13", f"select e_id, max(depth_cm) as depth_cm, min(length_m * fraction * u.lo) as cost_min, max(length_m * fraction * u.hi) as cost_max from {FRACTION_SQL} f join (values ('Motorway', 3.0, 9.0), ('A Road', 2.0, 6.0), ('B Road', 1.0, 3.0)) as u(class, lo, hi) on u.class = f.road_classification group by e_id".replace("min(length_m", "round(min(length_m").replace("u.lo)", "u.lo), 6)").replace("max(length_m", "round(max(length_m").replace("u.hi)", "u.hi), 6)"))
 def m13(i: Inputs) -> DataFrame:
     unit = i.spark.createDataFrame([("Motorway", 3.0, 9.0), ("A Road", 2.0, 6.0), ("B Road", 1.0, 3.0)], "class string, lo double, hi double")
-    return D.legacy_damage(fractions(i).withColumnRenamed("road_classification", "class"), unit)
+    out = D.legacy_damage(fractions(i).withColumnRenamed("road_classification", "class"), unit)
+    return out.withColumns({c: F.round(c, 6) for c in ("cost_min", "cost_max")})
 
 
 @query("M16", f"select e_id, min(case when level in ('extensive', 'severe') then 0.0 else cast(lanes * 1000 as double) end) as capacity from {LEVELLED_SQL} l2 group by e_id")
@@ -98,11 +99,12 @@ def m16(i: Inputs) -> DataFrame:
     return C.event_day_capacity(levelled(i).withColumn("capacity", F.col("lanes") * 1000)).groupBy("e_id").agg(F.min("capacity").alias("capacity"))
 
 
-@query("M17")
+CURVES_SQL = "(values " + ", ".join(f"('{v}', {a}, {b}, cast('{s}' as decimal(6,4)))" for v, a, b, s in C.CURVES) + ") as c(level, first, until, step)"
+
+
+@query("M17", f"select w.level, d.day, cast(round(c.step * least(greatest(d.day - c.first + 1, 0), c.until - c.first + 1), 2) as double) as rate from (select distinct level from {LEVELLED_SQL} l2) w join {CURVES_SQL} on c.level = w.level cross join (select unnest(range({C.DAYS + 1})) as day) d")
 def m17(i: Inputs) -> DataFrame:
-    # The days to recover follow from how many links have each level.
-    days = levelled(i).groupBy("level").agg((10 + F.countDistinct("e_id") % 100).cast("int").alias("days"))
-    return C.recovery_rates(days)
+    return C.recovery_rates(levelled(i))
 
 
 @query("M18", f"select w.e_id, d.scenario, round(w.lanes * 1000 * cast(d.rate as double), 6) as capacity from (select distinct e_id, road_label, lanes, level from {LEVELLED_SQL} l2) w join (values (0, 'bridge', 'severe', 0.0), (0, 'road', 'severe', 0.2), (1, 'bridge', 'severe', 0.5), (1, 'road', 'severe', 0.75)) as d(scenario, asset, level, rate) on d.level = w.level and d.asset = case when w.road_label = 'bridge' then 'bridge' else 'road' end")
@@ -112,7 +114,10 @@ def m18(i: Inputs) -> DataFrame:
     return C.recovered_capacity(hit, C.design_long(design)).withColumn("capacity", F.round("capacity", 6))
 
 
-@query("M22")
+VOC_SQL = "length_m * ((0.178 - {s} * 0.00299 + {s} * {s} * 0.0000205) * 1.4)"
+
+
+@query("M22", f"select e_id, round(cost, 3) as cost from (select e_id, greatest({VOC_SQL.format(s='speed')} - {VOC_SQL.format(s='free_speed')}, 0) * acc_flow as cost from {FLOWING_SQL} f) q where cost > 0")
 def m22(i: Inputs) -> DataFrame:
     before = F.col("length_m") * road.legacy_voc(F.col("initial_flow_speeds"))
     after = F.col("length_m") * road.legacy_voc(F.col("acc_speed"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayflux.operators import demand as M
 from wayflux.operators import rail as R
 from wayflux.operators import routing as G
+from wayflux.operators import tables as T
 from wayflux.operators.graph import connected_components
 from wayflux.plans.registry import Inputs, query
 
@@ -75,10 +76,10 @@ def a27(i: Inputs) -> DataFrame:
     return flow.filter("flow > 0").withColumn("flow", F.round("flow", 6))
 
 
-@query("A28", "select s.scenario, cast(count(o.od_id) as bigint) as n from (select unnest(range(7)) as scenario) s left join (select od_id, flow from {od} as o0 where flow < 6) o on o.flow = s.scenario group by s.scenario")
+@query("A28", "select s.scenario, cast(count(o.od_id) as bigint) as n from (select unnest(range(11)) as scenario) s left join {od} as o on o.flow = s.scenario group by s.scenario")
 def a28(i: Inputs) -> DataFrame:
-    seen = i.view("od").filter("flow < 6").groupBy(F.col("flow").alias("scenario")).agg(F.count(F.lit(1)).alias("n"))
-    every = i.spark.range(7).withColumnRenamed("id", "scenario")
+    seen = i.view("od").groupBy(F.col("flow").alias("scenario")).agg(F.count(F.lit(1)).alias("n"))
+    every = i.spark.range(11).withColumnRenamed("id", "scenario")
     return every.join(seen, "scenario", "left").fillna(0)
 
 
@@ -88,11 +89,11 @@ def a29(i: Inputs) -> DataFrame:
     return i.view("od").groupBy((F.col("origin_node") % 5).alias("event")).agg(F.sum(cost).alias("total"))
 
 
-@query("A30", "select d.zone_id, d.day, coalesce(lo, 0) as lo, coalesce(hi, 0) as hi from (select zone_id, unnest(range(1990, 2000)) as day from {zones} as z) d left join (select zone_id, yr, min(greatest(value - 5, 0)) as lo, max(greatest(value - 5, 0)) as hi from {series} as s group by zone_id, yr) e on e.zone_id = d.zone_id and e.yr = d.day")
+@query("A30", "select d.zone_id, d.day, coalesce(lo, 0) as lo, coalesce(hi, 0) as hi, coalesce(mean, 0) as mean from (select zone_id, unnest(range(1990, 2000)) as day from {zones} as z) d left join (select zone_id, yr, min(greatest(value - 5, 0)) as lo, max(greatest(value - 5, 0)) as hi, round(avg(greatest(value - 5, 0)), 6) as mean from {series} as s group by zone_id, yr) e on e.zone_id = d.zone_id and e.yr = d.day")
 def a30(i: Inputs) -> DataFrame:
     days = i.view("zones").select("zone_id", F.explode(F.sequence(F.lit(1990).cast("long"), F.lit(1999).cast("long"))).alias("day"))
     cost = F.greatest(F.col("value") - 5, F.lit(0))
-    seen = i.view("series").groupBy("zone_id", F.col("yr").cast("long").alias("day")).agg(F.min(cost).alias("lo"), F.max(cost).alias("hi"))
+    seen = i.view("series").groupBy("zone_id", F.col("yr").cast("long").alias("day")).agg(F.min(cost).alias("lo"), F.max(cost).alias("hi"), F.round(F.avg(cost), 6).alias("mean"))
     return days.join(seen, ["zone_id", "day"], "left").fillna(0)
 
 
@@ -186,7 +187,8 @@ def j23(i: Inputs) -> DataFrame:
 @query("J24", "select s.zone_id, s.yr, d.scenario from {series} as s left join (select zone_id, yr, cast(value as decimal(20,2)) as v, row_number() over (order by zone_id, yr) as scenario from {series} as t where yr % 2 = 0) d on d.zone_id = s.zone_id and d.yr = s.yr and d.v = cast(s.value as decimal(20,2))")
 def j24(i: Inputs) -> DataFrame:
     s = i.view("series").withColumn("v", F.col("value").cast("decimal(20,2)"))
-    design = s.filter("yr % 2 = 0").select("zone_id", "yr", "v", F.row_number().over(Window.orderBy("zone_id", "yr")).cast("long").alias("scenario"))  # a design table: few rows
+    design = s.filter("yr % 2 = 0").select("zone_id", "yr", "v", F.struct("zone_id", "yr").alias("row"))
+    design = design.join(T.dense_ids(design, "row", "scenario"), "row").drop("row").withColumn("scenario", F.col("scenario").cast("long"))
     return s.join(design, ["zone_id", "yr", "v"], "left").select("zone_id", "yr", "scenario")
 
 
@@ -206,13 +208,12 @@ def m20(i: Inputs) -> DataFrame:
     return M.grown(od, growth).select("origin", "destination", "future")
 
 
-@query("M21", "select s.station, q.run_date, round(s.n * (cast(q.trains as double) / q.total) * 0.5, 0) as use_ from (select station, count(*) as n from {stops} as a group by station) s cross join (select run_date, trains, sum(trains) over () as total from (select run_date, count(distinct train_id) as trains from {stops} as b group by run_date) x) q where s.station < 5")
-def m21(i: Inputs) -> DataFrame:
-    return daily_use(i).filter("station < 5")
+USE_SQL = "select s.station, q.run_date, round(s.n * (cast(q.trains as double) / q.total) * 0.5, 0) as use_ from (select station, count(*) as n from {stops} as a group by station) s cross join (select run_date, trains, sum(trains) over () as total from (select run_date, count(distinct train_id) as trains from {stops} as b group by run_date) x) q"
 
 
-@query("M21_all_stations")
-def daily_use(i: Inputs) -> DataFrame:
+@query("M21_all_stations", USE_SQL)
+@query("M21", USE_SQL)
+def m21(i: Inputs) -> DataFrame:
     yearly = i.view("stops").groupBy("station").agg(F.count(F.lit(1)).alias("n"))
     daily = i.view("stops").groupBy("run_date").agg(F.countDistinct("train_id").alias("trains"))
     total = daily.agg(F.sum("trains").alias("total"))  # one row
@@ -240,10 +241,12 @@ def g10(i: Inputs) -> DataFrame:
     return part.join(total, "region_id").groupBy("zone_id").agg(F.round(F.sum(F.col("total") * F.col("part")), 6).alias("value"))
 
 
-@query("G5")
+BOTH_WAYS_SQL = "(select from_id as u, to_id as v, cast(round(length_m) as bigint) as w from {links} as l1 where from_id <> to_id union all select to_id, from_id, cast(round(length_m) as bigint) from {links} as l2 where from_id <> to_id)"
+
+
+@query("G5", f"with recursive e as (select distinct u, v from {BOTH_WAYS_SQL} b), reach(node, other) as (select distinct u, u from e union select r.node, e.v from reach r join e on e.u = r.other) select node, min(other) as component from reach group by node")
 def g5(i: Inputs) -> DataFrame:
-    some = i.view("links").filter("road_classification = 'Motorway'")
-    return connected_components(some, "from_id", "to_id")
+    return connected_components(i.view("links"), "from_id", "to_id")
 
 
 @query("G1")
@@ -253,11 +256,14 @@ def g1(i: Inputs) -> DataFrame:
     return G.least_cost_paths(links, od)
 
 
-@query("G2")
+CUTOFF_SQL = "2500 + source % 4 * 500"
+
+
+@query("G2", f"with recursive e as (select u, v, min(w) as w from {BOTH_WAYS_SQL} b group by u, v), walks(source, node, cost) as (select distinct u, u, cast(0 as bigint) from e union select k.source, e.v, k.cost + e.w from walks k join e on e.u = k.node where k.cost + e.w <= {CUTOFF_SQL.replace('source', 'k.source')}) select source, node, min(cost) as cost from walks where node <> source group by source, node")
 def g2(i: Inputs) -> DataFrame:
     links = i.view("links").select("e_id", "from_id", "to_id", F.round("length_m").cast("long").alias("weight"))
     sources = links.select(F.col("from_id").alias("source")).union(links.select("to_id")).distinct()
-    return G.reachable(links, sources, 4000).select("source", "node", "cost")
+    return G.reachable(links, sources.withColumn("cutoff", F.expr(CUTOFF_SQL))).select("source", "node", "cost")
 
 
 @query("G3", "select e_id, left_capacity from (select l.e_id, l.lanes * 40 - coalesce(f.flow, 0) as left_capacity, l.lanes * 40 as base from {links} as l left join (select e_id, cast(count(*) as bigint) as flow from {steps} as t group by e_id) f on f.e_id = l.e_id) q where left_capacity >= 1 and left_capacity >= 0.01 * base")

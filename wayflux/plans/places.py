@@ -17,6 +17,18 @@ CORNERS_SQL = "(select e_id, lanes, road_classification, cast((from_id % 40) * 2
 SQUARES_SQL = "(select node_id, kind, x - 300 - node_id % 5 * 50 as x0, y - 300 as y0, x + 300 + node_id % 5 * 50 as x1, y + 300 as y1 from {sites} as s0)"
 
 
+#: The pieces of those lines in cells of 100: horizontal ones (section 0) first, then vertical ones.
+PIECES_SQL = f"""(select * from (select e_id, lanes, 0 as section, t.i as index_i, cast(floor(y0 / 100) as bigint) as index_j, least(greatest(x0, x1), (t.i + 1) * 100) - greatest(least(x0, x1), t.i * 100) as length from {CORNERS_SQL} c, unnest(range(cast(floor(least(x0, x1) / 100) as bigint), cast(ceil(greatest(x0, x1) / 100) as bigint))) as t(i)
+ union all select e_id, lanes, 1, cast(floor(x1 / 100) as bigint), t.j, least(greatest(y0, y1), (t.j + 1) * 100) - greatest(least(y0, y1), t.j * 100) from {CORNERS_SQL} d, unnest(range(cast(floor(least(y0, y1) / 100) as bigint), cast(ceil(greatest(y0, y1) / 100) as bigint))) as t(j)) p0 where length > 0)"""
+DEPTH_SQL = "(select i as index_i, j as index_j, (i * 7 + j * 5) % 11 as depth from unnest(range(12)) as a(i), unnest(range(12)) as b(j))"
+
+
+def zone_cells_sql(parity: int) -> str:
+    """Cells of 150 whose middle lies in the squares of the sites of one parity."""
+    span = lambda a: f"unnest(range(cast(floor({a}0 / 150) as bigint), cast(floor({a}1 / 150) as bigint) + 1))"
+    return f"(select node_id, t.i as index_i, u.j as index_j from (select * from {SQUARES_SQL} q where node_id % 2 = {parity}) s, {span('x')} as t(i), {span('y')} as u(j) where (t.i + 0.5) * 150 >= x0 and (t.i + 0.5) * 150 < x1 and (u.j + 0.5) * 150 >= y0 and (u.j + 0.5) * 150 < y1)"
+
+
 def _point(x, y):
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -52,9 +64,10 @@ def x2(i: Inputs) -> DataFrame:
     return X.split_on_grid(lines(i), CELL).groupBy("e_id").agg(F.round(F.sum("length"), 6).alias("length"))
 
 
-@query("X3")
+@query("X3", f"select e_id, section, index_i, index_j, round(length, 6) as length from {PIECES_SQL} p join {DEPTH_SQL} d using (index_i, index_j) where depth > 5")
 def x3(i: Inputs) -> DataFrame:
-    return X.clip_to_cells(X.split_on_grid(lines(i), CELL), depth_cells(i).filter("depth > 5")).select("e_id", "part", "length")
+    kept = X.clip_to_cells(X.split_on_grid(lines(i), CELL), depth_cells(i).filter("depth > 5"))
+    return kept.select("e_id", "part.section", "index_i", "index_j", F.round("length", 6).alias("length"))
 
 
 @query("X4", f"select e_id, round(greatest(0, case when y0 between 200 and 600 then greatest(0, least(greatest(x0, x1), 800) - greatest(least(x0, x1), 100)) else 0 end + case when x1 between 100 and 800 then greatest(0, least(greatest(y0, y1), 600) - greatest(least(y0, y1), 200)) else 0 end), 6) as length from {CORNERS_SQL} c where (y0 between 200 and 600 and least(greatest(x0, x1), 800) > greatest(least(x0, x1), 100)) or (x1 between 100 and 800 and least(greatest(y0, y1), 600) > greatest(least(y0, y1), 200))")
@@ -62,13 +75,13 @@ def x4(i: Inputs) -> DataFrame:
     return X.clip_to_box(X.split_on_grid(lines(i), CELL), 100, 200, 800, 600).groupBy("e_id").agg(F.round(F.sum("length"), 6).alias("length"))
 
 
-@query("X5")
+@query("X5", f"select e_id, d.depth % 3 as zone_id, round(sum(length), 6) as length from {PIECES_SQL} p join {DEPTH_SQL} d using (index_i, index_j) group by e_id, d.depth % 3")
 def x5(i: Inputs) -> DataFrame:
     zones = depth_cells(i).select("index_i", "index_j", (F.col("depth") % 3).alias("zone_id"))
     return X.length_per_zone(X.split_on_grid(lines(i), CELL), zones).withColumn("length", F.round("length", 6))
 
 
-@query("X6")
+@query("X6", f"select l.e_id, cast(case when h.e_id is null then 0 else 1 end as integer) as urban from {{links}} as l left join (select distinct e_id from {PIECES_SQL} p where (index_i, index_j) in (select (index_i, index_j) from {PIECES_SQL} m where lanes = 8)) h on h.e_id = l.e_id")
 def x6(i: Inputs) -> DataFrame:
     return X.touches_mask(lines(i), urban_cells(i), CELL).select("e_id", "urban")
 
@@ -140,17 +153,17 @@ def zone_cells(i: Inputs, parity: int, name: str) -> DataFrame:
     return X.polygon_cells(squares(i).filter(F.col("node_id") % 2 == parity), 150.0, "node_id").withColumnRenamed("node_id", name)
 
 
-@query("J17")
+@query("J17", f"select z.zone, b.city, b.cells from (select distinct node_id as zone from {zone_cells_sql(0)} z0) z left join (select zone, city, cells from (select *, row_number() over (partition by zone order by cells desc, city) as place from (select a.node_id as zone, c.node_id as city, count(*) as cells from {zone_cells_sql(0)} a join {zone_cells_sql(1)} c using (index_i, index_j) group by a.node_id, c.node_id) n) p where place = 1) b on b.zone = z.zone")
 def j17(i: Inputs) -> DataFrame:
     return X.largest_overlap(zone_cells(i, 0, "zone"), zone_cells(i, 1, "city"), "zone", "city")
 
 
-@query("J18")
+@query("J18", f"select distinct a.node_id as zone, c.node_id as city from {zone_cells_sql(0)} a join {zone_cells_sql(1)} c using (index_i, index_j)")
 def j18(i: Inputs) -> DataFrame:
     return X.overlapping(zone_cells(i, 0, "zone"), zone_cells(i, 1, "city"), "zone", "city")
 
 
-@query("J19")
+@query("J19", f"select e_id, max(depth) as depth, round(sum(case when depth > 5 then length else 0.0 end), 6) as wet_length from {PIECES_SQL} p left join {DEPTH_SQL} d using (index_i, index_j) group by e_id")
 def j19(i: Inputs) -> DataFrame:
     met = X.with_cell_value(X.split_on_grid(lines(i), CELL), depth_cells(i))
     return met.groupBy("e_id").agg(F.max("depth").alias("depth"), F.round(F.sum(F.when(F.col("depth") > 5, F.col("length")).otherwise(0.0)), 6).alias("wet_length"))

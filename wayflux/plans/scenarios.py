@@ -72,14 +72,15 @@ def g11(i: Inputs) -> DataFrame:
     return A.restored(network(i), trips, moved).select("scenario", "e_id", "freed")
 
 
-@query("G12", f"select scenario, cast(sum(displaced) as double) as change_flow, cast(count(*) as bigint) as trips from {MOVED_SQL} m group by scenario")
-def g12(i: Inputs) -> DataFrame:
+@query("G12_displaced", f"select scenario, cast(sum(displaced) as double) as change_flow, cast(count(*) as bigint) as trips from {MOVED_SQL} m group by scenario")
+def g12_displaced(i: Inputs) -> DataFrame:
     moved = A.displaced(odpfc(i), scenario_capacity(i))
     return moved.groupBy("scenario").agg(F.sum("displaced").alias("change_flow"), F.count(F.lit(1)).alias("trips"))
 
 
 @query("G12_rerouting")
-def g12_rerouting(i: Inputs) -> DataFrame:
+@query("G12")
+def g12(i: Inputs) -> DataFrame:
     trips = odpfc(i).join(i.view("od").select("od_id", "origin_node", "destination_node"), "od_id")
     state = ready(i).withColumn("acc_capacity", F.col("lanes") * 10.0).withColumn("current_capacity", F.col("lanes") * 10.0)
     state = state.drop("acc_flow").join(P.flow_on_edges(trips).withColumnRenamed("flow", "acc_flow"), "e_id", "left").fillna({"acc_flow": 0.0})
@@ -87,8 +88,8 @@ def g12_rerouting(i: Inputs) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c not in ("scenario", "trips")])
 
 
-@query("G13", "select t.e_id, cast(sum(o.flow) as double) / 2 as flow_now, cast(sum(case when o.od_id % 2 = 0 then o.flow end) as double) / 2 as flow_even from {steps} as t join {od} as o on o.od_id = t.od_id group by t.e_id")
-def g13(i: Inputs) -> DataFrame:
+@query("G13_given_paths", "select t.e_id, cast(sum(o.flow) as double) / 2 as flow_now, cast(sum(case when o.od_id % 2 = 0 then o.flow end) as double) / 2 as flow_even from {steps} as t join {od} as o on o.od_id = t.od_id group by t.e_id")
+def g13_given_paths(i: Inputs) -> DataFrame:
     od = i.view("od").select("od_id", F.col("flow").alias("now"), F.when(F.col("od_id") % 2 == 0, F.col("flow")).alias("even"))
     long = od.unpivot("od_id", ["now", "even"], "scenario", "flow")
     edge = P.collect_paths(i.view("steps")).join(long, "od_id").select("scenario", "flow", F.explode("path").alias("e_id"))
@@ -97,7 +98,8 @@ def g13(i: Inputs) -> DataFrame:
 
 
 @query("G13_rail_flow")
-def g13_rail_flow(i: Inputs) -> DataFrame:
+@query("G13")
+def g13(i: Inputs) -> DataFrame:
     links = i.view("links").select("e_id", "from_id", "to_id", F.round("length_m").cast("long").alias("weight"), (F.col("lanes") * 10.0).alias("capacity"))
     od = i.view("od").select("origin_node", "destination_node", F.col("flow").alias("now"), F.when(F.col("od_id") % 2 == 0, F.col("flow")).otherwise(0).alias("even"))
     return R.all_or_nothing(links, od, ["even"], "now")
@@ -105,8 +107,9 @@ def g13_rail_flow(i: Inputs) -> DataFrame:
 
 @query("G14")
 def g14(i: Inputs) -> DataFrame:
-    times = R.stop_times(i.view("stops")).filter("seconds > 0").groupBy("from_station", "to_station").agg(F.min("seconds").alias("seconds"))
-    return times.withColumn("speed", F.round(1000.0 / F.col("seconds") * (1 + F.abs(F.col("from_station") - F.col("to_station"))), 6))
+    links = i.view("links").select("e_id", "from_id", "to_id", F.round("length_m").cast("long").alias("weight"))
+    out = R.edge_speeds(links, R.stop_times(i.view("stops")))  # a station stands at the node of its number
+    return rounded(out, "fast", "middle")
 
 
 @query("G6")
@@ -132,12 +135,12 @@ def measures(i: Inputs) -> DataFrame:
 
 @query("ML1")
 def ml1(i: Inputs) -> DataFrame:
-    return C.mixture_clusters(measures(i), ["length_m", "lanes"], 3)[0].select("e_id", "cluster", "probability")
+    return C.mixture_clusters(measures(i), ["length_m", "lanes"])[0].select("e_id", "cluster", "probability")
 
 
 @query("ML2")
 def ml2(i: Inputs) -> DataFrame:
-    return C.centre_scores(C.mixture_clusters(measures(i), ["length_m", "lanes"], 3)[1], ["length_m", "lanes"])
+    return C.centre_scores(C.mixture_clusters(measures(i), ["length_m", "lanes"])[1], ["length_m", "lanes"])
 
 
 @query("ML3", "select zone_id as x, round(min_by(y0 + (y - y0) * (-v0) / (value - v0), y), 6) as y from (select zone_id, y, lag(y) over w as y0, value, lag(value) over w as v0 from (select zone_id, cast(yr as double) as y, value - avg(value) over (partition by zone_id) as value from {series} as s) d window w as (partition by zone_id order by y)) q where v0 is not null and sign(v0) <> sign(value) group by zone_id")

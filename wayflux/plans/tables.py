@@ -20,13 +20,9 @@ def shared(i: Inputs, name: str) -> str:
     return f"{ensure_checkpoint_dir(i.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("IO1", "select o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0")
+@query("IO1_whole", "select o_orderkey, o_totalprice from orders")
+@query("IO1", "select o_orderkey, o_totalprice from orders")
 def io1(i: Inputs) -> DataFrame:
-    return io.read_parquet(i.spark, f"{i.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"]).filter("o_orderkey % 2 = 0")
-
-
-@query("IO1_whole")
-def io1_whole(i: Inputs) -> DataFrame:
     return io.read_parquet(i.spark, f"{i.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])
 
 
@@ -64,15 +60,9 @@ def io11(i: Inputs) -> DataFrame:
     return i.table("lineitem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("IO12", "select o_orderkey, o_custkey from orders where o_orderkey % 7 = 3")
+@query("IO12_whole", "select o_orderkey, o_custkey, o_orderkey % 7 as part from orders")
+@query("IO12", "select o_orderkey, o_custkey, o_orderkey % 7 as part from orders")
 def io12(i: Inputs) -> DataFrame:
-    path = shared(i, "orders")
-    io.write_parquet(i.table("orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7).alias("part")), path, ("part",))
-    return io.read_parquet(i.spark, path).filter("part = 3").drop("part")
-
-
-@query("IO12_whole")
-def io12_whole(i: Inputs) -> DataFrame:
     path = shared(i, "orders")
     io.write_parquet(i.table("orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7).alias("part")), path, ("part",))
     return io.read_parquet(i.spark, path).withColumn("part", F.col("part").cast("long"))
