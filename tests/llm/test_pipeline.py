@@ -43,6 +43,41 @@ def test_run_is_the_stages_one_after_another(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "MinHash near-dedup", "mixing sources to target weights", "BPE encoding and decoding"]
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, digest string, hash long, node long, label int, keeper string, size int, taken int"
+
+
+def odd_tables(spark, folder, rows):
+    """Documents with nulls in every column, repeated rows and names that stages use inside, and labels for some."""
+    docs = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", len(t or ""), None, k, 1, 2, "x", None, 5) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(docs, CLASHES).write.parquet(f"{folder}/documents.parquet")
+    real = spark.read.parquet(f"{SF}/labels.parquet")
+    spark.createDataFrame([(i, None if i % 5 == 0 else int(i % 2), 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int").select(real.columns).write.parquet(f"{folder}/labels.parquet")
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    prose = ["the house by the river was quiet that morning and nobody came", "little rain had fallen on the old bridge since the early spring of that year", "she wrote a long letter about the weather to her sister in the north"]
+    rows = [(1, prose[0]), (2, prose[1]), (3, prose[2]), (4, prose[0].upper()), (5, prose[0] + "  "), (6, prose[1] + " again"), (6, prose[1] + " again"), (7, None), (7, None), (8, ""), (None, prose[2] + " too"), (None, None), (9, "word " * 60_000), (10, prose[2]), (10, prose[0] + " and more")]
+    odd_tables(spark, tmp_path, rows)
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows}
+    assert found and {(r.doc_id, r.n_tokens) for r in found} <= sizes
+    # Each stage on all rows: one of each group of copies stays, rows without words are no copies of one another.
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    after = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+    assert all(f.columns == docs.columns for name, f in list(after.items())[:-1])
+    near = [(r.doc_id, r.text) for r in after["MinHash near-dedup"].collect()]
+    assert sorted((i for i, t in near if t and t.strip()), key=str) == [1, 2, 3, 9] and sum(not t for _, t in near) == 4
+    exact = [(r.doc_id, r.text) for r in after["exact dedup"].collect()]
+    assert len(exact) == len({(t or "").lower() for _, t in rows})
+    assert after["BPE encoding and decoding"].count() == len(rows)
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
