@@ -69,8 +69,12 @@ def test_roll_up_and_adjustment_examples(spark):
     assert paths.adjusted(od, paths.adjustment_ratio(flow, tight)).first()["assigned"] == 25.0
 
 
-def test_units_round_trip():
-    assert abs(10 * road.MILE_TO_KM * 0.621371 - 10) < 1e-3
+def test_minutes_follow_from_length_and_speed(spark):
+    # At a constant speed, minutes times speed is sixty times the miles, on every link.
+    for r in QUERIES["PF27"](spark, SF).collect():
+        assert r.miles > 0 and r.minutes >= r.free_minutes > 0
+    ways = spark.createDataFrame([(1, 1609.344), (2, 16093.44)], "e_id long, length_m double")
+    assert [round(r.miles, 3) for r in ways.selectExpr(f"length_m * {road.METRE_TO_MILE} as miles").collect()] == [1.0, 10.0]
 
 
 def test_damage_levels_at_band_ends(spark):
@@ -152,6 +156,9 @@ def test_parameters_and_provenance(spark, tmp_path):
     for name in ("a", "b"):
         io.write_parquet(spark.range(3), str(tmp_path / name))
     assert io.read_with_source(spark, str(tmp_path / "a"), str(tmp_path / "b")).select("source_file").distinct().count() >= 2
+    (tmp_path / "b" / "part-broken.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    both = io.read_with_source(spark.newSession(), str(tmp_path / "a"), str(tmp_path / "b"))
+    assert both.count() == 6 and "part-broken.parquet" in {r.file for r in io.passed_over(both).collect()}
 
 
 def cheapest(links, source):

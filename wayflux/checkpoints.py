@@ -22,6 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared folder and go on from there; lost executors do not lose it."""
     ensure_checkpoint_dir(frame.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Fixed values, here and in the formulas of `legacy_voc`, `operating_cost` (1.4 and the pence), `legacy_flood_speed` and the car factor of `time_cost`.
 METRE_TO_MILE = 0.000621371
 MILE_TO_KM = 1.60934
 VALUE_OF_TIME = {"car": 21.41, "lgv": 16.87, "ogv": 20.35, "psv": 13.15, "rail": 38.28}

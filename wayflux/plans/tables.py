@@ -28,7 +28,10 @@ def io1(i: Inputs) -> DataFrame:
 
 @query("IO7", "select c_custkey, cast(1 as bigint) as files from customer")
 def io7(i: Inputs) -> DataFrame:
-    rows = io.read_with_source(i.spark, f"{i.sf_dir}/customer.parquet")
+    paths = [shared(i, "customers") for _ in range(2)]
+    for k, path in enumerate(paths):
+        io.write_parquet(i.table("customer").filter(F.col("c_nationkey") % 2 == k), path)
+    rows = io.read_with_source(i.spark, *paths)
     return rows.groupBy("c_custkey").agg(F.countDistinct("source_file").alias("files"))
 
 

@@ -31,11 +31,17 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> Data
 
 
 def read_with_source(spark: SparkSession, *paths: str) -> DataFrame:
-    """Rows of several Parquet paths with the name of each row's file; corrupt files are passed over."""
+    """Rows of several Parquet paths with the name of each row's file; corrupt files are passed over (``passed_over`` names them)."""
     frame = spark.read.option("ignoreCorruptFiles", True).parquet(*paths)
     return frame.withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def passed_over(frame: DataFrame) -> DataFrame:
+    """file: the input files of ``read_with_source``'s frame that gave no row, being corrupt or empty."""
+    every = frame.sparkSession.createDataFrame([(f.rsplit("/", 1)[-1],) for f in frame.inputFiles()], "file string")
+    return every.join(frame.select(F.col("source_file").alias("file")).distinct(), "file", "left_anti")
+
+
 def write_parquet(frame: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
     """Zstandard Parquet; a table keyed by scenario columns is laid out by them, so that readers prune."""
     writer = frame.write.mode(mode).option("compression", "zstd")
