@@ -246,6 +246,8 @@ def components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wi
     joined = connected_components(far_links(shared, labelled.drop("first"), sets)).withColumnRenamed("node", "label")
     classes = labelled.join(joined, "label", "left").select("node", "first", F.coalesce("component", "label").alias("component"))
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))
+    # In other partitions than the aggregation left them, so that the join deals out both sides and can split a large component.
+    keepers = keepers.coalesce(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2))
     return classes.join(keepers, "component").select("node", "keeper")
 
 
