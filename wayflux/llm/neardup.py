@@ -33,7 +33,7 @@ WIDTH, SIMILARITY = 5, 75
 PARTS, CHUNK, ERRORS = 48, 4, 1
 #: Shingles of the documents of a home's block, and of a block of the second pass; a task holds two of these at most.
 #: Each document counts ROW_SHINGLES more, which bounds the rows of a block of short documents.
-BLOCK_SHINGLES, FAR_SHINGLES, ROW_SHINGLES = 1 << 15, 1 << 16, 64
+BLOCK_SHINGLES, FAR_SHINGLES, ROW_SHINGLES = 1 << 14, 1 << 16, 64
 
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
