@@ -78,12 +78,16 @@ def congestion(links: DataFrame) -> DataFrame:
 def systematic_sample(rows: DataFrame, key: str, stride: int) -> DataFrame:
     """Every ``stride``-th row in order of a unique integer key, counted within ranges of keys.
 
-    Counting restarts in blocks of keys, offset by the rows before, so no single task sorts the whole table.
+    Counting restarts in blocks of keys, offset by the rows before, so no single task sorts the whole table; the blocks
+    are counted in blocks of their own, of which one task sees the totals (one for 2 ** 32 keys).
     """
     block = rows.withColumn("__b", F.floor(F.col(key) / 65536))
-    sizes = block.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__b", before.alias("__before"))
+    sizes = block.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__c", F.floor(F.col("__b") / 65536))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sizes.groupBy("__c").agg(F.sum("__n").alias("__n"))
+    totals = totals.select("__c", before(Window.orderBy("__c")).alias("__whole"))
+    inner = sizes.select("__b", "__c", before(Window.partitionBy("__c").orderBy("__b")).alias("__inner"))
+    sizes = inner.join(totals, "__c").select("__b", (F.col("__inner") + F.col("__whole")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1 + F.col("__before")
     return block.join(sizes, "__b").withColumn("__place", place).filter(F.col("__place") % stride == 0).select(*rows.columns)
 

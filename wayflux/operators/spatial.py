@@ -117,9 +117,12 @@ def polygon_cells(polygons: DataFrame, cell: float, key: str, ring: str = "ring"
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, key: str, ring: str = "ring") -> DataFrame:
-    """Each point with the polygons that contain it: an equality join on cells, then the exact test."""
+    """Each point with the polygons that contain it: an equality join on cells, then the exact test.
+
+    Only keys are spread over cells; the rings come to the points that share one. A key may have several rings.
+    """
     filed = points.withColumn("index_i", F.floor(F.col("x") / cell)).withColumn("index_j", F.floor(F.col("y") / cell))
-    met = filed.join(box_cells(polygons, cell, key, ring), ["index_i", "index_j"])
+    met = filed.join(box_cells(polygons, cell, key, ring).drop(ring).distinct(), ["index_i", "index_j"]).join(polygons.select(key, ring), key)
     return met.filter(inside(F.col("x"), F.col("y"), F.col(ring))).select(*points.columns, key)
 
 
