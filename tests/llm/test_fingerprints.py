@@ -19,6 +19,14 @@ def test_order_does_not_matter_and_edits_are_incremental():
     assert not np.array_equal(changed, whole) and 0.5 < mh.likeness(changed, whole) < 1 == mh.likeness(whole, mixed)
 
 
+def test_likeness_of_texts_that_repeat_one_run_many_times():
+    whole, half, other = mh.fingerprints(["word " * 90_000, "word " * 45_000 + "an end of its own", "quite another text of some words"])
+    assert 0.99 < mh.likeness(whole, half) < 1 and mh.likeness(whole, other) < 0.3
+    lines = mh.fingerprints(["\n".join(["a b c"] * 80_000)])[0]
+    one, rest = mh.fingerprints(["a b c", "\n".join(["a b c"] * 79_999)])
+    assert np.array_equal(mh.add(one, rest), lines) and mh.likeness(one, lines) > 0.99
+
+
 def test_blocks_and_batches_do_not_change_hashes(monkeypatch):
     texts = [b"", b"one", b" a  b\tc\nd ", b"word " * 3000, "é ü".encode() * 500, b"x" * 5000]
     whole, counts = word_hashes(texts)

@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
-Each paragraph (a line) is hashed to a wide vector of 16-bit lanes, and a text's fingerprint is the sum of its
-paragraphs' vectors modulo 2 ** 16 in every lane. Sums do not depend on the order, and adding or subtracting the vector
+Each paragraph (a line) is hashed to a wide vector of 32-bit lanes, and a text's fingerprint is the sum of its
+paragraphs' vectors modulo 2 ** 32 in every lane. Sums do not depend on the order, and adding or subtracting the vector
 of a paragraph inserts or deletes it without reading the rest. The first lanes are uniform (SHAKE-128 of the
 paragraph): these tell multisets apart. The others are a count sketch of the paragraph's runs of three words, of small
 values, so that their inner products estimate how much two texts have in common even within paragraphs.
@@ -22,28 +22,32 @@ from pyspark.sql import functions as F
 from wayflux.llm.common import chunks, text_or_empty
 from wayflux.llm.spans import shingle_hashes, word_hashes
 
-#: Lanes of 16 bits that tell multisets apart, and lanes that sketch what a text says.
-UNIFORM, SKETCH = 64, 128
+#: Lanes of 32 bits that tell multisets apart, and lanes that sketch what a text says. A sketch lane is read as a signed
+#: number: it is right while no text has 2 ** 31 runs of words in a lane.
+UNIFORM, SKETCH = 32, 128
 WORDS = 3
 #: Paragraphs whose vectors are held at once.
 _HELD = 4096
-#: Ranges of ids per partition; several small ones even out what hashing deals to each.
+#: Ranges of ids per partition; several small ones even out what long texts add to some.
 RANGES = 4
 
 
 def _uniform(paragraphs: list[bytes]) -> np.ndarray:
-    total = np.zeros(UNIFORM, np.uint16)
+    total = np.zeros(UNIFORM, np.uint32)
     for i in range(0, len(paragraphs), _HELD):
-        drawn = b"".join([hashlib.shake_128(p).digest(2 * UNIFORM) for p in paragraphs[i : i + _HELD]])
-        total += np.frombuffer(drawn, "<u2").reshape(-1, UNIFORM).sum(0, dtype=np.uint16)
+        drawn = b"".join([hashlib.shake_128(p).digest(4 * UNIFORM) for p in paragraphs[i : i + _HELD]])
+        total += np.frombuffer(drawn, "<u4").reshape(-1, UNIFORM).sum(0, dtype=np.uint32)
     return total
 
 
 def _sketch(words: np.ndarray) -> np.ndarray:
-    grams = shingle_hashes(words, WORDS)
+    return _counted(shingle_hashes(words, WORDS))
+
+
+def _counted(grams: np.ndarray) -> np.ndarray:
     lanes = (grams % np.uint64(SKETCH)).astype(np.int64)
     signs = ((grams >> np.uint64(40)) & np.uint64(1)).astype(np.int64) * 2 - 1
-    return np.bincount(lanes, signs, SKETCH).astype(np.int64).astype(np.uint16)
+    return np.bincount(lanes, signs, SKETCH).astype(np.int64).astype(np.uint32)
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
@@ -60,7 +64,7 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
         at = 0
         for n in owner:
             uniform = _uniform(lines[at : at + n])
-            sketch = np.zeros(SKETCH, np.uint16)
+            sketch = np.zeros(SKETCH, np.uint32)
             if n:
                 # Runs of words end with their paragraph, so each paragraph's share depends on nothing else.
                 sketch = _paragraph_sketches(hashes[ends[at] : ends[at + n]], counts[at : at + n])
@@ -71,17 +75,14 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 
 def _paragraph_sketches(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of the paragraphs' sketches. Paragraphs shorter than a run have one run of all their words."""
-    total = np.zeros(SKETCH, np.uint16)
+    total = np.zeros(SKETCH, np.uint32)
     ends = np.cumsum(counts)
     for short in np.flatnonzero((counts > 0) & (counts < WORDS)):
         total += _sketch(words[ends[short] - counts[short] : ends[short]])
     if len(words) >= WORDS:
         grams = shingle_hashes(words, WORDS)
         paragraph = np.repeat(np.arange(len(counts)), counts)
-        grams = grams[paragraph[: len(grams)] == paragraph[WORDS - 1 :]]
-        lanes = (grams % np.uint64(SKETCH)).astype(np.int64)
-        signs = ((grams >> np.uint64(40)) & np.uint64(1)).astype(np.int64) * 2 - 1
-        total += np.bincount(lanes, signs, SKETCH).astype(np.int64).astype(np.uint16)
+        total += _counted(grams[paragraph[: len(grams)] == paragraph[WORDS - 1 :]])
     return total
 
 
@@ -96,25 +97,28 @@ def remove(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def to_text(value: np.ndarray) -> str:
-    return value.astype("<u2").tobytes().hex()
+    return value.astype("<u4").tobytes().hex()
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), "<u2").copy()
+    return np.frombuffer(bytes.fromhex(text), "<u4").copy()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: 1 for equal fingerprints, else the cosine of the sketches (at most just below 1, at least 0)."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[UNIFORM:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[UNIFORM:].astype(np.int32).astype(np.float64) for v in (a, b))
     norm = np.sqrt((x @ x) * (y @ y))
     return float(min(max(x @ y / norm, 0.0), 0.999999)) if norm else 0.0
 
 
 def _starts(docs: DataFrame, parts: int) -> list:
-    """Ids at which ranges of about equally many rows begin; at most ``parts`` numbers reach the driver."""
-    found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("at")).first()["at"] if parts > 1 else None
+    """Ids at which ranges of about equally many rows begin; at most ``parts`` numbers reach the driver.
+
+    A range is off by a tenth of its rows at most, which bounds the summary of the ids at some ten numbers a range.
+    """
+    found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("at")).first()["at"] if parts > 1 else None
     return sorted(set(found or []))
 
 
@@ -146,7 +150,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     dealt = rows.withColumn("to", F.explode(ranges("doc_id")))
     dealt = dealt.withColumn("ahead", F.col("to") >= (1 << 32)).withColumn("range", F.col("to") % (1 << 32)).drop("to")
-    dealt = dealt.repartition(min(parts, len(starts) + 1), "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+    # Ranges go round the partitions, so each has as many of them as any other.
+    dealt = dealt.repartitionById(min(parts, len(starts) + 1), F.col("range").cast("int")).sortWithinPartitions("range", "ahead", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
