@@ -39,6 +39,12 @@ def test_exact_dedup_against_brute_force(spark, digest):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got.collect())
 
 
+def test_exact_dedup_of_one_text_that_a_third_repeats(spark):
+    rows = [(i, "hot Text" if i % 3 == 0 else f"text {i % 2500}") for i in range(9000)]
+    got = exact_dedup(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == brute_exact(rows)
+
+
 def test_exact_copies_go_and_columns_stay(spark):
     docs = frame(spark, EDGES)
     left = drop_exact_copies(docs)

@@ -2,7 +2,9 @@
 
 Rows are combined three times, and each time rows meet only when their whole normalised texts are equal, the digest
 merely routes them: within a task (map-side aggregation), within a salt of a digest, and over the salts of a digest.
-A text that a third of all rows repeat thus reaches any reducer as at most one row per map task and salt.
+A text that a third of all rows repeat thus reaches any reducer as at most one row per map task and salt. When the rows
+learn their group, the rows of a digest that has 1 / HOT of all rows or more are dealt over salts, and its group is
+repeated for each; all others meet under salt 0. There can be no more than HOT such digests, so their list is broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from wayflux.llm.common import ascii_lower, text_or_empty
 
 #: Salts per digest. A reducer of the first merge holds at most (map tasks / SALTS) rows of one text.
 SALTS = 32
+#: A digest with at least this part (one in so many) of all rows is hot.
+HOT = 1000
 
 
 def sha256(content: Column) -> Column:
@@ -30,6 +34,17 @@ def winners(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     return per_salt.groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def told(rows: DataFrame, groups: DataFrame, salts: int) -> DataFrame:
+    """rows with the columns of groups(digest, keep_id, group_size); digests are unique in ``groups``."""
+    total = groups.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    hot = groups.filter((F.col("group_size") > 1) & (F.col("group_size") * HOT >= total)).select("digest", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot)  # at most HOT rows, as each has one in HOT of all rows
+    salted = rows.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    repeated = groups.join(hot, "digest", "left").withColumn("salt", F.explode(copies)).drop("hot")
+    return salted.join(repeated, ["digest", "salt"]).drop("salt")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest for every row of ``docs``.
 
@@ -44,11 +59,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = checkpoint(merged.drop("content"))
     clashing = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
     if clashing.isEmpty():
-        found = rows.drop("content").join(groups, "digest")
+        found = told(rows.drop("content"), groups, salts)
     else:
         clashing = checkpoint(clashing)
         alone = groups.join(clashing, "digest", "left_anti")
-        found = rows.drop("content").join(alone, "digest")
+        found = told(rows.drop("content"), alone, salts)
         clashed = merged.join(clashing, "digest", "left_semi")
         found = found.unionByName(rows.join(clashed, ["digest", "content"]).drop("content"))
     return found.select(F.col("row_id").alias("doc_id"), "keep_id", "group_size", F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
