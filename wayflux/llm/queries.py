@@ -13,7 +13,10 @@ from wayflux.llm.exactdup import exact_dedup
 from wayflux.llm.labelled import labelled_sample
 from wayflux.llm.mixing import mix
 from wayflux.llm.neardup import near_duplicates
+from wayflux.llm.packing import pack
+from wayflux.llm.phrases import collocations
 from wayflux.llm.urlfilter import judge_urls
+from wayflux.llm.whitening import whiten
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -89,6 +92,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -100,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_phrases": op12_phrases,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,5 +144,36 @@ with rules(verdict, host, path) as (
 )
 select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') as verdict
 from split_ s left join (select * from fits where place = 1) f on s.row_ = f.row_
+""",
+    "op12_phrases": r"""
+with texts as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), pieces as (
+  select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from texts
+), words as (
+  select lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] as w from pieces
+), sizes as (select lang, sum(len(w))::bigint as n from words group by lang
+), counts as (
+  select lang, phrase, width, count(*) as f from (
+    select lang, width, unnest([array_to_string(w[i : i + width - 1], ' ') for i in range(1, len(w) - width + 2)]) as phrase
+    from words, (values (1), (2), (3)) as widths(width) where len(w) >= width
+  ) group by lang, phrase, width having count(*) >= 10
+), candidates as (select lang, phrase, width, f as a, string_split(phrase, ' ') as w from counts where width > 1
+), parts as (
+  select lang, phrase, width, a, k, array_to_string(w[1:k], ' ') as first_part, array_to_string(w[k + 1 : width], ' ') as last_part
+  from (select *, unnest(range(1, width)) as k from candidates)
+), cuts as (
+  select p.lang, p.phrase, p.a, p.k, l.f as l, r.f as r, ((1000000::hugeint * p.a * p.a) // (l.f::hugeint * r.f))::bigint as score
+  from parts p join counts l on l.lang = p.lang and l.phrase = p.first_part join counts r on r.lang = p.lang and r.phrase = p.last_part
+), least_ as (select *, row_number() over (partition by lang, phrase order by score, k) as place from cuts
+), inner_ as (
+  select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from candidates where width = 3
+), shadowed as (
+  select distinct b.lang, b.phrase from inner_ t join candidates b on t.lang = b.lang and t.phrase = b.phrase where b.width = 2 and 100 * t.a >= 50 * b.a
+), ranked as (
+  select l.lang, row_number() over (partition by l.lang order by score desc, a desc, encode(l.phrase)) as rank, l.phrase, a, l, r, score
+  from least_ l anti join shadowed s on l.lang = s.lang and l.phrase = s.phrase where place = 1
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
 """,
 }
