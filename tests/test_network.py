@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayflux.functions import road
 from wayflux.functions import text as S
-from wayflux.operators import assign, clusters, damage, demand, links, paths, rail, recovery, routing, tables
+from wayflux.operators import assign, cells, clusters, damage, demand, links, paths, rail, recovery, routing, tables
 from wayflux.operators.graph import connected_components
 from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
@@ -252,6 +252,55 @@ def test_rerouting_costs_by_scenario(spark):
     assert at(1, "rerouting_cost", "isolated") == [0, 0] and at(3, "post_cost", "isolated") == [0, 10]
 
 
+def test_rerouting_with_speed_limits_and_flow_by_link(spark):
+    # As above; in scenario 0 link 1 may still be used at 5 mph, in scenario 1 at any speed; link 9 is nowhere changed.
+    net = [(1, "a", "c", 1000.0, 0.0), (2, "a", "b", 1000.0, 3.0), (3, "b", "c", 1000.0, 0.0), (9, "x", "y", 1000.0, 0.0)]
+    table = spark.createDataFrame(net, "e_id long, from_id string, to_id string, length_m double, average_toll_cost double")
+    table = table.selectExpr("*", "100.0D as acc_capacity", "100.0D as current_capacity", "if(e_id = 1, 10.0D, 0.0D) as acc_flow", "50.0D as acc_speed", "'M' as combined_label", "50.0D as initial_flow_speeds", "1.0D as min_flow_speeds", "1200.0D as breakpoint_flows")
+    trips = spark.createDataFrame([(1, "a", "c", [1], 10.0)], "od_id long, origin_node string, destination_node string, path array<long>, flow double")
+    capacity = spark.createDataFrame([("x", 1, 4.0), ("x", 1, 7.0), ("y", 1, 4.0)], "scenario string, e_id long, capacity double")
+    limits = spark.createDataFrame([("x", 1, 5.0), ("x", 1, 8.0), ("y", 2, 1.0)], "scenario string, e_id long, max_speed double")
+    costs, flow = assign.rerouting(table, trips, capacity, limits=limits)
+    one = links.with_costs(table, "car").filter("e_id = 1").first()
+    slow = links.with_costs(table.withColumn("acc_speed", F.lit(5.0)), "car").filter("e_id = 1").first()
+    found = {r.scenario: r for r in costs.collect()}
+    change = {(r.scenario, r.e_id): (r.acc_flow, r.change_flow) for r in flow.collect()}
+    assert len(change) == 8 and change["x", 9] == change["y", 9] == (0, 0) and change["y", 1] == (10, 0) and change["y", 2] == (0, 0)
+    around = slow.time_cost + slow.operating_cost > 2 * (one.time_cost + one.operating_cost) + 3
+    assert change["x", 1] == ((4, -6) if around else (10, 0)) and change["x", 3] == ((6, 6) if around else (0, 0))
+    extra = one.time_cost + one.operating_cost + 3 if around else slow.time_cost + slow.operating_cost - one.time_cost - one.operating_cost
+    assert found["x"].change_flow == found["y"].change_flow == 6 and abs(found["x"].rerouting_cost - 6 * extra) < 1e-6 and found["y"].rerouting_cost == 0
+    nothing = assign.rerouting(table, trips, capacity.filter("false"), limits=limits.filter("false"))
+    assert nothing[0].count() == nothing[1].count() == 0
+
+
+def test_layers_are_networks_of_their_own(spark):
+    k = Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "cast(round(length_m) as bigint) as weight")
+    both = k.withColumn("layer", F.lit(0).cast("long")).unionByName(k.filter("e_id % 3 > 0").withColumn("layer", F.lit(5).cast("long")))
+    od = Inputs(spark, SF).view("od").select("origin_node", "destination_node").distinct()
+    asked = od.withColumn("layer", F.lit(0).cast("long")).unionByName(od.withColumn("layer", F.lit(5).cast("long")))
+    rows_ = lambda f: sorted(map(str, f.select("origin_node", "destination_node", "cost", "path").collect()))
+    found = routing.least_cost_paths(both, asked)
+    assert rows_(found.filter("layer = 0")) == rows_(routing.least_cost_paths(k, od)) and rows_(found.filter("layer = 5")) == rows_(routing.least_cost_paths(k.filter("e_id % 3 > 0"), od))
+
+
+def test_many_cells_give_the_same_paths(spark):
+    """A long chain, a hub, small components and equal ways, in cells of a few nodes."""
+    net = [(k, k, k + 1, 1) for k in range(16)] + [(100 + k, 7, 200 + k, 1 + k % 3) for k in range(14)] + [(300 + k, 200 + k, 201 + k, 1) for k in range(13)]
+    net += [(400, 900, 901, 2), (401, 910, 911, 2), (402, 0, 16, 16), (403, 3, 3, 1), (404, 5, 9, None)]
+    k = spark.createDataFrame(net, "e_id long, from_id long, to_id long, weight long")
+    od = spark.createDataFrame([(a, b) for a in (0, 16, 7, 213, 900, 999, None) for b in (*range(0, 17, 3), 203, 213, 901, 911, 999, None)], "origin_node long, destination_node long")
+    nodes = cells.node_cells(routing.directed(k), 8)
+    sizes = [r["count"] for r in nodes.groupBy("cell").count().collect()]
+    assert sum(sizes) == nodes.select("node").distinct().count() and len(sizes) > 3 and max(sizes) <= 16
+    rows_ = lambda f: sorted(map(str, f.select("origin_node", "destination_node", "cost", "path").collect()))
+    found = routing.least_cost_paths(k, od, nodes)
+    assert rows_(found) == rows_(routing.least_cost_paths(k, od))
+    cost = {n: cheapest([x for x in net if x[3]], n) for n in (0, 16, 7, 213, 900, 999)}
+    assert all(r.cost == cost.get(r.origin_node, {}).get(r.destination_node) for r in found.collect())
+    assert routing.least_cost_paths(k.filter("false"), od).filter("cost is not null").collect()[0].path == [] and routing.least_cost_paths(k, od.filter("false")).count() == 0
+
+
 def test_rerouting_takes_all_displaced_trips(spark):
     want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12_displaced"](spark, SF).collect()}
     found = QUERIES["G12_rerouting"](spark, SF).collect()

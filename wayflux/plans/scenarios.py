@@ -78,16 +78,30 @@ def g12_displaced(i: Inputs) -> DataFrame:
     return moved.groupBy("scenario").agg(F.sum("displaced").alias("change_flow"), F.count(F.lit(1)).alias("trips"))
 
 
-@query("G12_rerouting")
-@query("G12")
-def g12(i: Inputs) -> DataFrame:
+def event(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links before the event, the trips on them, and each scenario's capacities and speed limits."""
     trips = odpfc(i).join(i.view("od").select("od_id", "origin_node", "destination_node"), "od_id")
     state = ready(i).withColumn("acc_capacity", F.col("lanes") * 10.0).withColumn("current_capacity", F.col("lanes") * 10.0)
     state = state.drop("acc_flow").join(P.flow_on_edges(trips).withColumnRenamed("flow", "acc_flow"), "e_id", "left").fillna({"acc_flow": 0.0})
-    out = A.rerouting_costs(L.with_flow_speed(state), trips, scenario_capacity(i))
+    # The damaged links are passed slowly, the more so the milder the scenario's loss of capacity is.
+    limits = scenario_capacity(i).select("scenario", "e_id", (10.0 + 5 * F.col("scenario")).alias("max_speed"))
+    return L.with_flow_speed(state), trips, scenario_capacity(i), limits
+
+
+@query("G12_rerouting")
+@query("G12")
+def g12(i: Inputs) -> DataFrame:
+    state, trips, capacity, limits = event(i)
+    out = A.rerouting_costs(state, trips, capacity, limits=limits)
     return rounded(out, *[c for c in out.columns if c not in ("scenario", "trips")])
 
 
+@query("G12_flow")
+def g12_flow(i: Inputs) -> DataFrame:
+    state, trips, capacity, limits = event(i)
+    return rounded(A.rerouting(state, trips, capacity, limits=limits)[1], "acc_flow", "change_flow")
+
+
 @query("G13_given_paths", "select t.e_id, cast(sum(o.flow) as double) / 2 as flow_now, cast(sum(case when o.od_id % 2 = 0 then o.flow end) as double) / 2 as flow_even from {steps} as t join {od} as o on o.od_id = t.od_id group by t.e_id")
 def g13_given_paths(i: Inputs) -> DataFrame:
     od = i.view("od").select("od_id", F.col("flow").alias("now"), F.when(F.col("od_id") % 2 == 0, F.col("flow")).alias("even"))
