@@ -11,6 +11,7 @@ empties next to nothing.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from bisect import insort
@@ -37,7 +38,7 @@ NEAR, PATIENCE = 128, 64
 #: A round that empties a smaller share of the bins that are not full is the last.
 LEAST_GAIN = 0.002
 #: Distinct white-space separated strings, and bytes of them and their ids, that a worker remembers; then it starts anew.
-CACHE_STRINGS, CACHE_BYTES = 600_000, 96_000_000
+CACHE_STRINGS, CACHE_BYTES = 1_200_000, 96_000_000
 
 _PIECE = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: White space for str.split, but not for the tokenizer.
@@ -58,6 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.lowers = "Lowercase" in str(json.loads(spec).get("normalizer"))
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -76,7 +78,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        split = [[] if any(s in t for s in _SEPARATORS) else t.split() for t in texts]
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in _SEPARATORS)]
+        # A special token is told by its case; without one, lower case first lets more strings be alike.
+        texts = [t.lower() if t.isascii() and self.lowers and "<|" not in t else t for t in texts]
+        split = [t.split() for t in texts]
+        for i in odd:
+            split[i] = []
         known = self.known
         new = list(set().union(*split).difference(known))
         for begin in range(0, len(new), 20_000):
@@ -84,7 +91,6 @@ class Encoder:
             packed = self._ask(some)
             known.update(zip(some, packed))
             self.held += sum(map(len, some)) + sum(map(len, packed))
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in _SEPARATORS)]
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for i, packed in zip(odd, self._ask([texts[i] for i in odd]) if odd else []):
             out[i] = packed
