@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayflux.functions import road
 from wayflux.functions import text as S
-from wayflux.operators import assign, cells, clusters, damage, demand, links, paths, rail, recovery, routing, tables
+from wayflux.operators import assign, cells, clusters, damage, demand, links, nearest, paths, rail, recovery, routing, tables
 from wayflux.operators.graph import connected_components
 from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
@@ -126,11 +126,90 @@ def test_fitting_meets_both_margins(spark):
 
 
 def test_nearest_of_far_and_equal_sites(spark):
-    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 1e6), (3, 50.0, 0.0)], "zone_id long, x double, y double")
-    sites = spark.createDataFrame([(7, 100.0, 0.0), (5, 0.0, 0.0), (9, 0.0, 1.0)], "node_id long, x double, y double")
-    found = {r.zone_id: r.node_id for r in tables.pairs_nearest(points, sites, 10.0).collect()}
-    assert found == {1: 5, 2: 7, 3: 5}
-    assert tables.pairs_nearest(points, sites.filter("false"), 10.0).count() == 0
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 1e6), (3, 50.0, 0.0), (3, 50.0, 0.0), (4, None, 1.0), (None, 1.0, 1.0)], "zone_id long, x double, y double")
+    sites = spark.createDataFrame([(7, 100.0, 0.0), (5, 0.0, 0.0), (9, 0.0, 1.0), (6, 0.0, 0.0), (1, None, 0.0), (2, float("nan"), 0.0)], "node_id long, x double, y double")
+    found = {r.zone_id: r.node_id for r in nearest.pairs_nearest(points, sites).collect()}
+    assert found == {1: 5, 2: 7, 3: 5, None: 9}
+    assert nearest.pairs_nearest(points, sites.filter("false")).count() == 0
+    assert nearest.pairs_nearest(points.filter("false"), sites).count() == 0
+
+
+def nearest_by_hand(points, sites):
+    return {p: min(((x - u) ** 2 + (y - v) ** 2, s) for s, u, v in sites)[1] for p, x, y in points}
+
+
+@pytest.mark.parametrize("far", [0.0, 1e5])
+def test_nearest_over_a_deep_tree(spark, monkeypatch, far):
+    """Small nodes, no level broadcast but the root: crowded sites, copies, points near and all far from all sites."""
+    monkeypatch.setattr(nearest, "FAN", 4)
+    monkeypatch.setattr(nearest, "SMALL", 1)
+    rng = random.Random(11)
+    sites = [(s, rng.gauss(0, 1) if s % 3 else float(s % 20), rng.gauss(0, 1) if s % 3 else float(s % 7)) for s in range(400)]
+    points = [(p, far + rng.randrange(-20, 20), far / 2 + rng.randrange(-20, 20)) for p in range(200)]
+    table = spark.createDataFrame(points, "zone_id long, x double, y double"), spark.createDataFrame(sites, "node_id long, x double, y double")
+    assert {r.zone_id: r.node_id for r in nearest.pairs_nearest(*table).collect()} == nearest_by_hand(points, sites)
+
+
+def test_far_points_enter_few_nodes(spark):
+    """All points far from 100,000 sites: a bounded number of leaves each, and no salted key above its share."""
+    sites = spark.range(100_000).select(F.col("id").alias("node_id"), (F.pmod(F.xxhash64("id"), F.lit(10007)) / 10).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9973)) / 10).alias("y"))
+    points = spark.range(2000).select(F.col("id").alias("zone_id"), (F.lit(1e6) + F.col("id") % 50).alias("x"), (F.col("id") / 50).alias("y"))
+    seen = []
+    plain = nearest._entered
+
+    def watched(at, nodes, n):
+        seen.append((n, at.count(), plain(at, nodes, n)))
+        return seen[-1][2]
+
+    nearest._entered = watched
+    try:
+        found = nearest.pairs_nearest(points, sites).collect()
+    finally:
+        nearest._entered = plain
+    assert len(found) == 2000 and seen[-1][0] > nearest.SMALL and seen[-1][1] <= 2000 * 8
+    keys = seen[-1][2].groupBy("node", "salt").count().agg(F.max("count")).first()[0]
+    assert keys <= 3 * seen[-1][1] // nearest.SHARES + 8
+    some = [(r.zone_id, 1e6 + r.zone_id % 50, r.zone_id / 50) for r in found[:40]]
+    assert {r.zone_id: r.node_id for r in found[:40]} == nearest_by_hand(some, [tuple(s) for s in sites.collect()])
+
+
+def project(line, x, y):
+    """Squared distance and running length of the nearest place on a line, by trying all segments."""
+    best, run = None, 0.0
+    for (ax, ay), (bx, by) in zip(line, line[1:]):
+        dx, dy = bx - ax, by - ay
+        t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        gap, size = (x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2, (dx * dx + dy * dy) ** 0.5
+        best = min(best or (gap, run + t * size), (gap, run + t * size))
+        run += size
+    return best, run
+
+
+def test_positions_on_the_nearest_bent_line(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "FAN", 4)
+    monkeypatch.setattr(nearest, "SMALL", 1)
+    rng = random.Random(5)
+    bent = {k: [(rng.uniform(0, 500), rng.uniform(0, 500)) for _ in range(rng.randrange(2, 9))] for k in range(40)}
+    bent[99] = [(0.0, 0.0), (10_000.0, 0.0), (10_000.0, 9_000.0)]  # one line much longer than the others
+    points = [(p, rng.uniform(-200, 9000) if p % 4 == 0 else rng.uniform(0, 500), rng.uniform(-200, 700)) for p in range(150)]
+    kind = "line_id long, line array<struct<x:double,y:double>>, start double, stop double"
+    empty = [(100, [], 0.0, 1.0), (101, None, 0.0, 1.0), (102, [(None, 1.0)], 0.0, 1.0)]
+    table = spark.createDataFrame([(k, line, 10.0 * k, 10.0 * k + 7) for k, line in bent.items()] + empty, kind)
+    found = nearest.positions_on_nearest(spark.createDataFrame(points, "zone_id long, x double, y double"), table).collect()
+    assert len(found) == 150
+    for r in found:
+        _, x, y = points[r.zone_id]
+        (gap, along), total = project(bent[r.line_id], x, y)
+        assert gap <= min(project(line, x, y)[0][0] for line in bent.values()) + 1e-9
+        assert abs(r.distance - gap**0.5) < 1e-6 and abs(r.position - (10 * r.line_id + 7 * along / total)) < 1e-6
+
+
+def test_position_ties_and_lines_without_length(spark):
+    kind = "line_id long, line array<struct<x:double,y:double>>, start double, stop double"
+    table = spark.createDataFrame([(4, [(0.0, 0.0), (10.0, 0.0)], 0.0, 100.0), (3, [(10.0, 0.0), (10.0, 5.0)], 50.0, 60.0), (8, [(-50.0, 0.0)], 5.0, 9.0)], kind)
+    points = spark.createDataFrame([(1, 12.0, -3.0), (2, -60.0, 0.0), (3, 2.0, 1.0)], "zone_id long, x double, y double")
+    found = {r.zone_id: (r.line_id, r.position) for r in nearest.positions_on_nearest(points, table).collect()}
+    assert found == {1: (3, 50.0), 2: (8, 5.0), 3: (4, 20.0)}
 
 
 def test_clock_and_list_text(spark):

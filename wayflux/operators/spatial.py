@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayflux.operators.tables import pairs_nearest
+from wayflux.operators.nearest import pairs_nearest
 
 
 def _sections(line: Column) -> Column:
@@ -130,7 +130,7 @@ def containing_or_nearest(points: DataFrame, polygons: DataFrame, centres: DataF
     """zone_id, node_id: the polygon (node_id, ring) that holds a point, the smallest id first, else the nearest centre."""
     held = points_in_polygons(points, polygons, cell, "node_id").groupBy("zone_id").agg(F.min("node_id").alias("node_id"))
     rest = points.join(held, "zone_id", "left_anti")
-    return held.unionByName(pairs_nearest(rest, centres, cell).select("zone_id", "node_id"))
+    return held.unionByName(pairs_nearest(rest, centres).select("zone_id", "node_id"))
 
 
 def largest_overlap(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:

@@ -46,36 +46,3 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 def share_of_group(value: Column, keys: list[str]) -> Column:
     """A value's share of its group's total; 0 where the total is 0."""
     return F.coalesce(F.try_divide(value, F.sum(value).over(Window.partitionBy(*keys))), F.lit(0.0))
-
-
-def pairs_nearest(points: DataFrame, sites: DataFrame, cell: float) -> DataFrame:
-    """zone_id, node_id, distance: the nearest site of each point (the smaller id of equally near ones).
-
-    Both sides are binned into square cells; a point meets the sites of the 3 x 3 cells around it. What it finds is
-    final if it is no farther than the cell size; the others go on with cells twice as large, until all are done.
-    """
-    left = points.select("zone_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    at = sites.select("node_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    found = None
-    if at.isEmpty():
-        return left.limit(0).select("zone_id", F.lit(None).cast(sites.schema["node_id"].dataType).alias("node_id"), F.lit(0.0).alias("distance"))
-    extent = at.agg(F.greatest(F.max("sx") - F.min("sx"), F.max("sy") - F.min("sy")).alias("e")).first()["e"]
-    while True:
-        steps = F.array(*[F.lit(float(d)) for d in (-1, 0, 1)])
-        filed = at.withColumn("cx", F.floor(F.col("sx") / cell)).withColumn("cy", F.floor(F.col("sy") / cell))
-        spread = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-        spread = spread.withColumn("cx", F.floor(F.col("px") / cell) + F.col("dx").cast("long")).withColumn("cy", F.floor(F.col("py") / cell) + F.col("dy").cast("long"))
-        gap = F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
-        best = spread.join(filed, ["cx", "cy"]).groupBy("zone_id").agg(F.min(F.struct(gap.alias("distance"), F.col("node_id"))).alias("best"))
-        near = best.select("zone_id", F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("distance"))
-        sure = near.filter(F.col("distance") <= cell)
-        sure = checkpoint(sure)
-        found = sure if found is None else found.unionByName(sure)
-        left = checkpoint(left.join(sure, "zone_id", "left_anti"))
-        if left.isEmpty():
-            return found
-        if cell > 4 * extent + 1:
-            # Cells cover all sites: the points left lie far outside, and few cells hold everything they can meet.
-            reach = left.agg(F.max(F.greatest(F.abs("px"), F.abs("py"))).alias("m")).first()["m"]
-            cell = max(cell, 2 * (reach + extent))
-        cell *= 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayflux.operators import spatial as X
 from wayflux.operators.graph import connected_components
+from wayflux.operators.nearest import positions_on_nearest
 from wayflux.plans.registry import Inputs, query
 
 CELL = 100.0
@@ -104,8 +105,21 @@ def x8(i: Inputs) -> DataFrame:
     return c.select("node_id", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"))
 
 
-@query("X9", "select zone_id, round(10 + 90 * greatest(0, least(1, (x * 3000 + y * 4000) / 25000000)), 6) as position from {points} as p")
+#: The segments of those lines with the running length; start and stop values of a line follow from its number.
+SECTIONS_SQL = f"(select e_id, s, case s when 0 then x0 else x1 end as ax, y0 as ay, x1 as bx, case s when 0 then y0 else y1 end as by_, case s when 0 then 0 else abs(x1 - x0) end as before, abs(x1 - x0) + abs(y1 - y0) as total from {CORNERS_SQL} c, (values (0), (1)) as v(s))"
+FOOT_SQL = f"(select *, case when t >= 1 then bx else ax + t * (bx - ax) end as fx, case when t >= 1 then by_ else ay + t * (by_ - ay) end as fy from (select p.zone_id, p.x, p.y, q.*, greatest(0, least(1, coalesce(((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0), 0))) as t from {{points}} as p cross join {SECTIONS_SQL} q) u)"
+
+
+@query("X9", f"select zone_id, e_id, round(sqrt(d), 6) as distance, round(e_id * 10 + (90 + e_id % 7) * coalesce((before + t * (abs(bx - ax) + abs(by_ - ay))) / nullif(total, 0), 0), 6) as position from (select *, row_number() over (partition by zone_id order by d, e_id, s) as place from (select *, (x - fx) * (x - fx) + (y - fy) * (y - fy) as d from {FOOT_SQL} f) g) h where place = 1")
 def x9(i: Inputs) -> DataFrame:
+    ends = F.col("e_id").cast("double") * 10
+    along = lines(i).select("e_id", "line", ends.alias("start"), (ends + 90 + F.col("e_id") % 7).alias("stop"))
+    found = positions_on_nearest(i.view("points"), along, "e_id")
+    return found.select("zone_id", "e_id", F.round("distance", 6).alias("distance"), F.round("position", 6).alias("position"))
+
+
+@query("X9_one_line", "select zone_id, round(10 + 90 * greatest(0, least(1, (x * 3000 + y * 4000) / 25000000)), 6) as position from {points} as p")
+def x9_one_line(i: Inputs) -> DataFrame:
     points = i.view("points").select("zone_id", F.lit(1).alias("line_id"), "x", "y")
     line = i.spark.createDataFrame([(1, (0.0, 0.0), (3000.0, 4000.0), 10.0, 100.0)], "line_id int, a struct<x:double,y:double>, b struct<x:double,y:double>, start double, stop double")
     return X.referenced(points, line).select("zone_id", F.round("position", 6).alias("position"))

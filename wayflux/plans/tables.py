@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayflux.checkpoints import ensure_checkpoint_dir
 from wayflux.functions import text as S
 from wayflux.operators import tables as T
+from wayflux.operators.nearest import pairs_nearest
 from wayflux.plans.registry import Inputs, query
 from wayflux.sources import io
 
@@ -154,13 +155,13 @@ def j11(i: Inputs) -> DataFrame:
 
 @query("J12", "select zone_id, node_id, round(distance, 6) as distance from (select p.zone_id, s.node_id, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) as distance, row_number() over (partition by p.zone_id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.node_id) as place from {points} as p cross join {sites} as s) q where place = 1")
 def j12(i: Inputs) -> DataFrame:
-    return T.pairs_nearest(i.view("points"), i.view("sites"), 500.0).select("zone_id", "node_id", F.round("distance", 6).alias("distance"))
+    return pairs_nearest(i.view("points"), i.view("sites")).select("zone_id", "node_id", F.round("distance", 6).alias("distance"))
 
 
 @query("J13", "select zone_id, kind from (select p.zone_id, s.kind, row_number() over (partition by p.zone_id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.node_id) as place from {points} as p cross join {sites} as s) q where place = 1")
 def j13(i: Inputs) -> DataFrame:
     sites = i.view("sites")
-    return T.pairs_nearest(i.view("points"), sites, 500.0).join(sites.select("node_id", "kind"), "node_id").select("zone_id", "kind")
+    return pairs_nearest(i.view("points"), sites).join(sites.select("node_id", "kind"), "node_id").select("zone_id", "kind")
 
 
 @query("J25", "select e_id, cast(a.x as double) as x0, cast(b.y as double) as y1 from {links} as l join {points} as a on a.zone_id = l.from_id + 1 join {points} as b on b.zone_id = l.to_id + 1")
