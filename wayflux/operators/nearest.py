@@ -2,9 +2,10 @@
 
 Items (sites, segments of lines) are numbered along a space-filling curve; ``FAN`` consecutive ones make a leaf, ``FAN``
 consecutive nodes the node above, up to one root, so that no node grows with the data however the items crowd. Points
-descend a level at a time. A node tells the least distance that something below it can have and a distance within which
-something below it surely lies (each side of its box is touched); a point goes on only into nodes whose least distance does
-not exceed the best assurance that it has met, however far from all items it is. Levels of at most ``SMALL`` nodes are
+descend a level at a time. A node's box, cut by its diagonals, tells the least distance that something below it can have; the
+sides of the box, each of which is touched, and the outermost points along the diagonals tell a distance within which
+something below it surely lies. A point goes on only into nodes whose least distance does not exceed the best assurance
+that it has met, however far from all items it is. Levels of at most ``SMALL`` nodes are
 broadcast; below them a node that many points enter is copied over salts, so that no task gets more than a bounded share.
 """
 
@@ -21,16 +22,14 @@ from wayflux.operators.tables import dense_ids
 FAN = 32  # children of a node
 SMALL = 1024  # nodes of a level that is broadcast: at most SMALL * FAN boxes
 SHARES = 256  # a node that more than this part of all candidates enter is copied
-SIDES = ("x0", "y0", "x1", "y1")
-SLACK = 1 + 1e-9  # of squared bounds, for rounding
+BOX = ("x0", "y0", "x1", "y1", "up", "down", "right", "left")  # sides, and the outermost points by x + y and x - y
+SLACK = 1e-9, 1e-12  # of squared bounds for rounding: of the bound, and of the square of the place
 
 
-def _real(*names: str) -> Column:
+def _real(x: Column, y: Column) -> Column:
     """Neither null nor NaN nor infinite."""
-    kept = F.lit(True)
-    for name in names:
-        kept = kept & F.coalesce(F.abs(F.col(name)) < float("inf"), F.lit(False)) & ~F.isnan(name)
-    return kept
+    finite = lambda v: F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False))
+    return finite(x) & finite(y)
 
 
 def _spread(v: Column) -> Column:
@@ -40,29 +39,40 @@ def _spread(v: Column) -> Column:
     return v
 
 
+def _boxed(items: DataFrame) -> DataFrame:
+    """item and the fields of BOX from items(item, ends)."""
+    ends = F.col("ends")
+    side = lambda f, a: f(F.transform(ends, lambda e: e[a]))
+    along = lambda sign: F.transform(ends, lambda e: F.struct((e["x"] + sign * e["y"]).alias("v"), e["x"].alias("x"), e["y"].alias("y")))
+    found = [side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y")]
+    found += [F.array_max(along(1)), F.array_min(along(1)), F.array_max(along(-1)), F.array_min(along(-1))]
+    return items.select("item", *[c.alias(name) for c, name in zip(found, BOX)])
+
+
 def packed_tree(items: DataFrame) -> list[tuple[DataFrame, int]]:
-    """Levels of (node, kids) with their numbers of nodes, leaves first, of items(item, x0, y0, x1, y1).
+    """Levels of (node, kids) with their numbers of nodes, leaves first, of items(item, ends).
 
-    Kids of leaves are items, kids of other nodes are node numbers with boxes. Items of like size come together, so that
-    a long segment does not widen the boxes of short ones. No levels for an empty table.
+    ``ends`` are the corners of an item, an array of struct<x, y> without nulls. Kids of leaves are items, kids of other
+    nodes are node numbers with the fields of BOX. Items of like width and height come together, so that a long segment does
+    not widen the boxes of short ones. No levels for an empty table.
     """
-    items = items.filter(_real(*SIDES))
+    items = _boxed(items)
     low_x, low_y, high_x, high_y = items.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
     if low_x is None:
         return []
     extent = max(high_x - low_x, high_y - low_y) or 1.0
     place = lambda a, low: F.least(F.floor(((F.col(f"{a}0") + F.col(f"{a}1")) / 2 - low) / extent * 2**20), F.lit(2**20 - 1))
     code = _spread(place("x", low_x)).bitwiseOR(F.shiftleft(_spread(place("y", low_y)), 1))
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / extent
-    size = F.when(side > 2.0**-20, F.floor(F.log2(side))).otherwise(F.lit(-20))
-    keys = items.select(F.struct(size.alias("size"), code.alias("code"), "item", *SIDES).alias("key"))
-    ranked = dense_ids(keys, "key", "rank").select(F.floor((F.col("rank") - 1) / FAN).alias("node"), F.col("key.item").alias("kid"), *[F.col(f"key.{s}").alias(s) for s in SIDES])
-    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    side = lambda a: (F.col(f"{a}1") - F.col(f"{a}0")) / extent
+    size = lambda a: F.when(side(a) > 2.0**-20, F.floor(F.log2(side(a)))).otherwise(F.lit(-20)).alias(a)
+    keys = items.select(F.struct(size("x"), size("y"), code.alias("code"), "item", *BOX).alias("key"))
+    ranked = dense_ids(keys, "key", "rank").select(F.floor((F.col("rank") - 1) / FAN).alias("node"), F.col("key.item").alias("kid"), *[F.col(f"key.{s}").alias(s) for s in BOX])
+    box = [f(s).alias(s) for f, s in zip((F.min, F.min, F.max, F.max, F.max, F.min, F.max, F.min), BOX)]
     level = checkpoint(ranked.groupBy("node").agg(F.collect_list("kid").alias("kids"), *box))
     levels = [(level, level.count())]
     while levels[-1][1] > 1:
-        kid = F.struct("node", *SIDES)
-        level = checkpoint(levels[-1][0].groupBy(F.floor(F.col("node") / FAN).alias("up")).agg(F.collect_list(kid).alias("kids"), *box).withColumnRenamed("up", "node"))
+        kid = F.struct("node", *BOX)
+        level = levels[-1][0].groupBy(F.floor(F.col("node") / FAN).alias("above")).agg(F.collect_list(kid).alias("kids"), *box).withColumnRenamed("above", "node")
         levels.append((level, -(-levels[-1][1] // FAN)))
     return levels
 
@@ -81,59 +91,70 @@ def _entered(at: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _least(k: Column, x: Column, y: Column) -> Column:
+    """Square of the least distance from a place to a box cut by its diagonals."""
     dx = F.greatest(k["x0"] - x, x - k["x1"], F.lit(0.0))
     dy = F.greatest(k["y0"] - y, y - k["y1"], F.lit(0.0))
-    return dx * dx + dy * dy
+    across = F.greatest(x + y - k["up"]["v"], k["down"]["v"] - x - y, x - y - k["right"]["v"], k["left"]["v"] - x + y)
+    rounding = 1e-15 * (F.abs(x) + F.abs(y) + F.abs(k["x0"]) + F.abs(k["x1"]) + F.abs(k["y0"]) + F.abs(k["y1"]))
+    across = F.greatest(across - rounding, F.lit(0.0))
+    return F.greatest(dx * dx + dy * dy, across * across / 2)
 
 
 def _sure(k: Column, x: Column, y: Column) -> Column:
-    """Square of a distance within which the box has something: the far end of its nearer side, the better of both axes."""
+    """Square of a distance within which the box has something: the far end of a nearer side, or an outermost point."""
     def ends(v: Column, low: Column, high: Column) -> tuple[Column, Column]:
         a, b = F.abs(v - low), F.abs(v - high)
         return F.least(a, b), F.greatest(a, b)
 
+    def gap(p: Column) -> Column:
+        return (x - p["x"]) * (x - p["x"]) + (y - p["y"]) * (y - p["y"])
+
     (near_x, far_x), (near_y, far_y) = ends(x, k["x0"], k["x1"]), ends(y, k["y0"], k["y1"])
-    return F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y)
+    return F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y, *[gap(k[p]) for p in BOX[4:]])
+
+
+def _within(value: str) -> Column:
+    """Not beyond the bound, as far as rounding can tell."""
+    px, py = F.col("px"), F.col("py")
+    return F.col(value) <= F.col("bound") * (1 + SLACK[0]) + SLACK[1] * (1 + px * px + py * py)
 
 
 def nearest_items(points: DataFrame, items: DataFrame, gap: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """id, gap, item: for each id of points(id, px, py) the least gap(item, px, py) and its item, the least of equal ones.
 
-    items(item, x0, y0, x1, y1) come with boxes; ``gap`` is a squared distance. Repeated points count once; an id at several
-    places gets the item nearest to any of them. Points and items without a finite place take no part. No rows for no items.
+    items(item, ends) come with their corners; ``gap`` is a squared distance. Repeated points count once; an id at several
+    places gets the item nearest to any of them. Points without a finite place take no part. No rows for no items.
     """
     px, py = F.col("px"), F.col("py")
-    at = points.filter(_real("px", "py")).select("id", "px", "py").distinct().withColumn("bound", F.lit(float("inf"))).withColumn("node", F.lit(0).cast("long"))
+    at = points.filter(_real(px, py)).select("id", "px", "py").distinct().withColumn("bound", F.lit(float("inf"))).withColumn("node", F.lit(0).cast("long"))
     levels = packed_tree(items)
     if not levels:
         kind = items.schema["item"].dataType
         return at.filter("false").select("id", F.lit(0.0).alias("gap"), F.lit(None).cast(kind).alias("item"))
     for depth in range(len(levels) - 1, 0, -1):
-        met = _entered(at, *levels[depth])
-        bounds = F.transform("kids", lambda k: F.struct(k["node"].alias("node"), _least(k, px, py).alias("least"), _sure(k, px, py).alias("sure")))
-        met = met.select("id", "px", "py", "bound", bounds.alias("kids"))
-        met = met.withColumn("bound", F.least("bound", F.array_min(F.transform("kids", lambda k: k["sure"]))))
-        met = met.select("id", "px", "py", "bound", F.inline(F.filter("kids", lambda k: k["least"] <= F.col("bound") * SLACK)))
-        met = met.withColumn("bound", F.min("bound").over(Window.partitionBy("id")))
-        at = met.filter(F.col("least") <= F.col("bound") * SLACK).select("id", "px", "py", "bound", "node")
+        met = _entered(at, *levels[depth]).select("id", "px", "py", "bound", F.explode("kids").alias("k"))
+        met = met.select("id", "px", "py", "bound", "k.node", _least(F.col("k"), px, py).alias("least"), _sure(F.col("k"), px, py).alias("sure"))
+        met = met.filter(_within("least")).withColumn("bound", F.min(F.least("bound", "sure")).over(Window.partitionBy("id")))
+        at = met.filter(_within("least")).select("id", "px", "py", "bound", "node")
         if levels[depth - 1][1] > SMALL:
             at = checkpoint(at)  # read again to find crowded nodes
-    gaps = F.transform("kids", lambda k: F.struct(gap(k, px, py).alias("gap"), k.alias("item")))
-    found = _entered(at, *levels[0]).select("id", F.array_min(gaps).alias("best"))
-    return found.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.gap", "best.item")
+    met = _entered(at, *levels[0]).select("id", "px", "py", "bound", F.explode("kids").alias("item"))
+    met = met.withColumn("gap", gap(F.col("item"), px, py)).filter(_within("gap"))
+    return met.groupBy("id").agg(F.min(F.struct("gap", "item")).alias("best")).select("id", "best.gap", "best.item")
 
 
 def pairs_nearest(points: DataFrame, sites: DataFrame) -> DataFrame:
     """zone_id, node_id, distance: the nearest of sites(node_id, x, y) to each of points(zone_id, x, y).
 
-    Of equally near sites the smallest id is taken. Sites at one place are one item. Nulls and empty tables as in
-    ``nearest_items``.
+    Of equally near sites the smallest id is taken. Sites at one place are one item; those without a finite place take no
+    part. Repeated points and empty tables as in ``nearest_items``.
     """
-    one = sites.groupBy(F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy")).agg(F.min("node_id").alias("node_id"))
-    items = one.select(F.struct("node_id", "sx", "sy").alias("item"), *[F.col(c).alias(s) for c, s in zip(("sx", "sy", "sx", "sy"), SIDES)])
+    one = sites.groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("node_id").alias("node_id"))
+    one = one.filter(_real(F.col("x"), F.col("y")))
+    items = one.select(F.struct("node_id", "x", "y").alias("item"), F.array(F.struct("x", "y")).alias("ends"))
 
     def gap(s: Column, x: Column, y: Column) -> Column:
-        return (x - s["sx"]) * (x - s["sx"]) + (y - s["sy"]) * (y - s["sy"])
+        return (x - s["x"]) * (x - s["x"]) + (y - s["y"]) * (y - s["y"])
 
     left = points.select(F.col("zone_id").alias("id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     return nearest_items(left, items, gap).select(F.col("id").alias("zone_id"), "item.node_id", F.sqrt("gap").alias("distance"))
@@ -158,7 +179,7 @@ def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
 
     Points without a finite place are skipped; a line of one point is a segment without length, a line of none has no rows.
     """
-    real = F.filter(line, lambda p: F.coalesce((F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")), F.lit(False)) & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    real = F.filter(line, lambda p: _real(p["x"], p["y"]))
     kept = lines.select(key, real.alias("p")).filter(F.size("p") > 0)
     kept = kept.withColumn("p", F.when(F.size("p") == 1, F.concat("p", "p")).otherwise(F.col("p")))
     n = F.size("p")
@@ -177,10 +198,12 @@ def positions_on_nearest(points: DataFrame, lines: DataFrame, key: str = "line_i
     without length, null if start or stop is. Of equally near lines the smallest key is taken, on it the earliest segment.
     Keys are unique. Nulls, repeated points and empty tables as in ``nearest_items``.
     """
-    fields = ("ax", "ay", "bx", "by", "before", "total")
-    cut = segments(lines, key, line)
-    low, high = (lambda a: F.least(f"a{a}", f"b{a}")), (lambda a: F.greatest(f"a{a}", f"b{a}"))
-    items = cut.select(F.struct(F.col(key).alias("key"), "section", *fields).alias("item"), low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    places = ("ax", "ay", "bx", "by")
+    # Of segments at one place only the first can be an answer: copies of a line are one item.
+    first = F.min(F.struct(F.col(key).alias("key"), "section", "before", "total")).alias("f")
+    cut = segments(lines, key, line).groupBy(*places).agg(first)
+    corner = lambda a: F.struct(F.col(f"{a}x").alias("x"), F.col(f"{a}y").alias("y"))
+    items = cut.select(F.struct("f.key", "f.section", *places, "f.before", "f.total").alias("item"), F.array(corner("a"), corner("b")).alias("ends"))
     left = points.select(F.col("zone_id").alias("id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     found = nearest_items(left, items, _segment_gap).join(left.distinct(), "id")
     # An id at several places: the one that is as near as the least gap.
