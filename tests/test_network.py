@@ -5,6 +5,7 @@ import re
 import statistics
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -455,6 +456,32 @@ def test_mixture_of_clear_clusters(spark):
     assert all(abs(r.a - 100 * (r.a // 100 + (r.a % 100 > 50))) < 5 for r in centres.collect() if r.cluster in held)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_three_clear_clusters_stay_whole(spark, seed):
+    rng = random.Random(seed)
+    points = [(i, 100.0 * (i % 3) + rng.gauss(0, 1), 50.0 * (i % 3 == 1) + rng.gauss(0, 1)) for i in range(300)]
+    mixture = clusters.fit_mixture(spark.createDataFrame(points, "e_id long, a double, b double"), ["a", "b"], most=4, seed=seed, restarts=4)
+    assert sorted((round(a, -1), round(b, -1)) for _, a, b in mixture.centres()) == [(0, 0), (100, 50), (200, 0)]
+
+
+def test_mixture_of_nothing_and_of_nulls(spark):
+    table = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 2.0), (3, 1.0, 2.0), (4, float("nan"), 1.0)], "e_id long, a double, b double")
+    labelled, centres = clusters.mixture_clusters(table, ["a", "b"])
+    assert {r.e_id: r.cluster for r in labelled.collect()} == {1: None, 2: 0, 3: 0, 4: None} and [tuple(r) for r in centres.collect()] == [(0, 1.0, 2.0)]
+    labelled, centres = clusters.mixture_clusters(table.filter("false"), ["a", "b"])
+    assert labelled.count() == 0 and centres.count() == 0
+    assert clusters.regime_boundary(table, None).count() == 0
+
+
+def test_boundary_between_two_regimes(spark):
+    """Equal round clusters at (0, 0) and (4, 4): as likely where x + y = 4."""
+    even = np.array([0.5, 0.5])
+    mixture = clusters.Mixture(["a", "b"], np.zeros(2), np.ones(2), even, np.array([[0.0, 0.0], [4.0, 4.0]]), np.array([np.eye(2), np.eye(2)]))
+    corners = spark.createDataFrame([(0.0, 0.0), (4.0, 4.0)], "a double, b double")
+    found = clusters.regime_boundary(corners, mixture).collect()
+    assert len(found) >= 198 and all(abs(r.x + r.y - 4) < 4 / 399 for r in found)
+
+
 def test_sample_is_the_same_in_every_run(spark):
     once, again = (sorted(map(str, QUERIES["PF20"](spark, SF).collect())) for _ in range(2))
     assert once and once == again

@@ -164,6 +164,11 @@ def ml3(i: Inputs) -> DataFrame:
     return C.boundary(grid).withColumn("y", F.round("y", 6))
 
 
+@query("ML3_regimes")
+def ml3_regimes(i: Inputs) -> DataFrame:
+    return C.regime_boundary(measures(i), C.fit_mixture(measures(i), ["length_m", "lanes"]))
+
+
 def _streamed(i: Inputs, rows: DataFrame, plan, mode: str) -> DataFrame:
     """``plan`` over ``rows`` arriving as files: all that is there is taken, then the query ends."""
     home = f"{ensure_checkpoint_dir(i.spark)}/stream-{uuid.uuid4().hex}"
