@@ -98,3 +98,18 @@ def test_urls_against_brute_force(spark):
 def test_rule_tokens_are_whole_in_every_url_they_fit():
     assert literal_tokens("www.example.com", "/en/news") == ["www", "example", "com", "en"]
     assert re.search(compile_rule("x.com", "/q(1)/").replace(r"\z", r"\Z"), "y.x.com/q(1)/a")
+
+
+def test_mixed_rows_keep_the_columns_of_every_row(spark):
+    # One source: its target is all its words, so every row comes out as often as it went in.
+    rows = [(1, "a b", "s", 1, "de"), (1, "a b", "s", 1, "en"), (1, "a b", "s", 2, None), (1, "a b", "s", 2, None), (None, "c", "s", 0, "x"), (None, "c", "s", 0, "y"), (2, "w " * 300_000, "s", 3, "z")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mixed_rows(docs)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+    assert mixing.mixed_rows(docs.filter("false")).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = mixing.mixed_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"hashpartitioning\(__key", plan)) == 1  # whole rows are shuffled once

@@ -105,7 +105,7 @@ def land(sizes: list[float], chances: list[float]) -> list[float]:
 
 
 def _run(block: pd.DataFrame, seed: str, last: bool) -> pd.DataFrame:
-    block = block.sort_values(["doc_id", "size", "row_key"], kind="stable", na_position="last")
+    block = block.sort_values(["doc_id", "size", "row_key", "twin_key"], kind="stable", na_position="last")
     sizes = block["size"].astype(float).tolist()
     chances = flight(sizes, block["chance"].tolist(), LANDING, random.Random(seed))
     return block.assign(chance=land(sizes, chances) if last else chances)
@@ -123,17 +123,18 @@ def with_blocks(units: DataFrame, rows: Column, step: int) -> DataFrame:
     return units.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_key", F.lit(step)), F.ceil(rows / BLOCK_ROWS)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, seed: int = 20) -> DataFrame:
-    """doc_id, row_key, size, source_size, target, copies, taken for every row of ``docs``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Iterable[float] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, seed: int = 20, twin_key: Column | None = None) -> DataFrame:
+    """doc_id, row_key, twin_key, size, source_size, target, copies, taken for every row of ``docs``.
 
     ``size`` counts words (null text: 0), ``copies`` says how often the document is taken (0 to ceil(most)), ``taken``
     is size times copies. Sources without words take nothing. Null sources form one source; repeated rows are separate
-    documents; other columns are not read. ``row_key`` is a hash of id, source and text. The same rows and seed give
-    the same mix however they are partitioned. A source's words miss its target by less than its landing problem does:
+    documents; other columns are not read. ``row_key`` is a hash of id, source and text, ``twin_key`` (the row's
+    key by default) tells rows apart that agree in these. The same rows and seed give the same mix however they are
+    partitioned. Texts of any length are counted whole; an empty table gives an empty mix. A source's words miss its target by less than its landing problem does:
     the best of 2 ** LANDING ways to settle its last documents, or of all ways if it has no more documents than that.
     """
     key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    sizes = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), (key.cast("string") if twin_key is None else twin_key).alias("twin_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = checkpoint(sizes)
     per_source = checkpoint(source_targets(sizes, tuple(weights), share, most).withColumnRenamed("source", "of_source"))
     units = sizes.join(per_source, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
@@ -157,14 +158,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         flown = checkpoint(flights(with_blocks(left, F.col("open"), step).drop("open"), step, seed, last=False))
         settled, left = settled.unionByName(flown.filter(~open_rows)), flown.filter(open_rows)
     done = settled.unionByName(landed).withColumn("copies", (F.col("whole") + F.round("chance")).cast("long"))
-    return done.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return done.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "row_key", "twin_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken."""
-    due = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("copies").alias("__copies"))
-    due = due.groupBy("__id", "__key").agg(F.sum("__copies").alias("__copies"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)))
-    met = keyed.join(due, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")))
-    met = met.dropDuplicates([id_col, "__k"])
+    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Rows that differ in any column are separate documents, so that none lends its columns to another; rows equal in all
+    columns are told apart by nothing and share their copies. An empty table gives an empty one.
+    """
+    key = F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+    due = mix(docs, id_col, text_col, source_col, twin_key=key, **how).filter("copies > 0")
+    due = due.groupBy(F.col("twin_key").alias("__key")).agg(F.sum("copies").alias("__copies"))
+    # One key for the join and for equal rows: texts are shuffled once.
+    met = docs.withColumn("__key", key).join(due, "__key").dropDuplicates(["__key"])
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
