@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from wayflux.operators import routing
 
 
-def running_days(trains: DataFrame, first: str, last: str, runs_on: Column) -> DataFrame:
-    """A row per train and day between two dates (both included) on whose weekday (0 = Monday) it runs."""
-    days = trains.withColumn("day", F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 day"))))
+def running_days(trains: DataFrame, first: str, last: str, runs_on: Column, horizon: tuple[str, str] | None = None) -> DataFrame:
+    """A row per train and ``day`` between two dates (both included) on whose weekday (0 = Monday) it runs.
+
+    With a ``horizon`` (first and last day, included) only its days count, so that an open range makes no more rows than
+    the horizon has days. A range without a start, an end or a day in it gives no row.
+    """
+    start, end = F.col(first).cast("date"), F.col(last).cast("date")
+    if horizon:
+        start = F.when(start.isNotNull(), F.greatest(start, F.lit(horizon[0]).cast("date")))
+        end = F.when(end.isNotNull(), F.least(end, F.lit(horizon[1]).cast("date")))
+    ranged = trains.withColumn("__start", start).withColumn("__end", end).filter("__start <= __end")
+    days = ranged.withColumn("day", F.explode(F.sequence("__start", "__end", F.expr("interval 1 day")))).drop("__start", "__end")
     return days.filter(F.get(runs_on, F.weekday("day")) == 1)
 
 

@@ -148,8 +148,7 @@ def a37(i: Inputs) -> DataFrame:
 @query("A38", "select od_id, coalesce(cast(nullif(flow, 9) as double), (select median(nullif(flow, 9)) from {od} as p)) as filled from {od} as o")
 def a38(i: Inputs) -> DataFrame:
     od = i.view("od").withColumn("flow", F.nullif(F.col("flow"), F.lit(9)).cast("double"))
-    middle = od.agg(F.median("flow").alias("middle"))  # one row
-    return od.crossJoin(F.broadcast(middle)).select("od_id", F.coalesce("flow", "middle").alias("filled"))
+    return od.select("od_id", F.coalesce("flow", F.lit(T.exact_median(od, "flow")).cast("double")).alias("filled"))
 
 
 @query("A39", "select kind, owner, cast(count(*) as bigint) as n from (select node_id % 10 as k, kind from {sites} as s) a join (select zone_id % 10 as k, owner from {points} as p) b on a.k = b.k group by kind, owner")
@@ -171,8 +170,21 @@ def a41(i: Inputs) -> DataFrame:
     return z.groupBy("region_id").agg(*[F.sum(c).cast("long").alias(c) for c in numeric])
 
 
-@query("J20", "select train_id, cast(count(*) as bigint) as days from (select distinct train_id, run_date from {stops} as s) q where dayofweek(run_date) between 1 and 5 group by train_id")
+TIMETABLE_SQL = "(select train_id, min(run_date) as date_from, max(run_date) as date_to, " + ", ".join(f"max(case when dayofweek(run_date) = {(w + 1) % 7} then 1 else 0 end) as d{w}" for w in range(7)) + " from {stops} as s0 group by train_id)"
+
+
+@query("J20", f"select c.day, cast(count(distinct r.train_id) as bigint) as trains, cast(sum(r.train_id) as bigint) as ids from (select distinct run_date as day from {{stops}} as s1) c join {TIMETABLE_SQL} r on r.date_from <= c.day and c.day <= r.date_to where case dayofweek(c.day) " + " ".join(f"when {(w + 1) % 7} then d{w}" for w in range(7)) + " end = 1 group by c.day")
 def j20(i: Inputs) -> DataFrame:
+    # A train's range goes from its first day to its last; it runs on the weekdays on which it was seen.
+    seen = F.weekday("run_date")
+    flags = [F.max(F.when(seen == w, 1).otherwise(0)).alias(f"d{w}") for w in range(7)]
+    timetable = i.view("stops").groupBy("train_id").agg(F.min("run_date").alias("date_from"), F.max("run_date").alias("date_to"), *flags)
+    days = R.running_days(timetable, "date_from", "date_to", F.array(*[F.col(f"d{w}") for w in range(7)]))
+    return days.groupBy("day").agg(F.count(F.lit(1)).alias("trains"), F.sum("train_id").alias("ids"))
+
+
+@query("J20_one_day", "select train_id, cast(count(*) as bigint) as days from (select distinct train_id, run_date from {stops} as s) q where dayofweek(run_date) between 1 and 5 group by train_id")
+def j20_one_day(i: Inputs) -> DataFrame:
     runs = i.view("stops").select("train_id", "run_date").distinct()
     days = R.running_days(runs, "run_date", "run_date", F.array(*[F.lit(x) for x in (1, 1, 1, 1, 1, 0, 0)]))
     return days.groupBy("train_id").agg(F.count(F.lit(1)).alias("days"))
@@ -233,6 +245,31 @@ def g9(i: Inputs) -> DataFrame:
     return M.disaggregated(od, shares).select(F.col("origin_node"), F.col("destination_node"), F.round("flow", 6).alias("flow"))
 
 
+HOMES_SQL, WORKS_SQL = "node_id % 3", "node_id % 7 + 1"
+MIRROR_SQL = "cast(list_sum([((k >> b) & 1) << (31 - b) for b in range(32)]) as bigint)"
+
+
+def _circle_sql(end: str, weight: str) -> str:
+    """zone_id, node_id, lo, hi of an end's nodes, zones without nodes at their nearest one."""
+    own = f"select kind as zone_id, node_id, {weight} as w from {{sites}} as s_{end} where {weight} > 0"
+    place = f"select owner as zone_id, avg(x) as x, avg(y) as y from {{points}} as p_{end} group by owner"
+    near = f"select c.zone_id, s.node_id, 1 as w, row_number() over (partition by c.zone_id order by (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y), s.node_id) as place from ({place}) c cross join {{sites}} as s where c.zone_id not in (select zone_id from ({own}) o)"
+    return f"(select zone_id, node_id, cast(floor(cast(upto - w as double) / total * 4294967296) as bigint) as lo, cast(floor(cast(upto as double) / total * 4294967296) as bigint) as hi from (select *, sum(w) over (partition by zone_id order by node_id) as upto, sum(w) over (partition by zone_id) as total from ({own} union all select zone_id, node_id, w from ({near}) n where place = 1) a) b)"
+
+
+def _turn_sql(end: str) -> str:
+    return f"cast('0x' || substr(md5('7|{end}|' || origin || '|' || destination), 1, 8) as bigint)"
+
+
+@query("G9_drawn", f"select a.node_id as origin_node, b.node_id as destination_node, cast(count(*) as bigint) as flow from (select origin, destination, ({_turn_sql('origin')} + k * 4294967296 // n) % 4294967296 as po, ({_turn_sql('destination')} + {MIRROR_SQL}) % 4294967296 as pd from (select origin, destination, n, unnest(range(n)) as k from {{trips}} as t) u) v left join {_circle_sql('origin', HOMES_SQL)} a on a.zone_id = v.origin and v.po >= a.lo and v.po < a.hi left join {_circle_sql('destination', WORKS_SQL)} b on b.zone_id = v.destination and v.pd >= b.lo and v.pd < b.hi group by a.node_id, b.node_id")
+def g9_drawn(i: Inputs) -> DataFrame:
+    sites = i.view("sites")
+    weights = lambda w: sites.select(F.col("kind").alias("zone_id"), "node_id", F.expr(w).alias("weight"))
+    centroids = i.view("points").groupBy(F.col("owner").alias("zone_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    od = i.view("trips").select("origin", "destination", F.col("n").alias("flow"))
+    return M.drawn(od, weights(HOMES_SQL), weights(WORKS_SQL), centroids, sites, 7)
+
+
 @query("G10", "select p.zone_id, round(sum(r.total * p.part), 6) as value from (select zone_id, region_id, cast(population as double) / nullif(sum(population) over (partition by region_id), 0) as part from {zones} as z) p join (select region_id, cast(sum(zone_id) as double) as total from {zones} as y group by region_id) r on r.region_id = p.region_id group by p.zone_id")
 def g10(i: Inputs) -> DataFrame:
     z = i.view("zones")
@@ -292,8 +329,23 @@ def g8(i: Inputs) -> DataFrame:
     return M.radiation(pairs, z.select(F.col("zone_id").alias("origin"), F.lit(100.0).alias("outflow"))).select("origin", "destination", F.round("flow", 6).alias("flow"))
 
 
-@query("W12", "select factor, round(avg(dy / dx), 6) as mu, round(avg(abs(dy / dx)), 6) as mu_star from (select 'yr' as factor, cast(value - lag(value) over w as double) as dy, cast(yr - lag(yr) over w as double) as dx from {series} as s window w as (partition by zone_id order by yr)) q where dx is not null and dx <> 0 group by factor")
+FACTORS = ["lanes", "urban", "average_width", "toll"]
+RUNS_SQL = "(select e_id, cast(lanes as double) as lanes, cast(urban as double) as urban, average_width, average_toll_cost as toll, nullif(length_m, case when road_label = 'tunnel' then length_m end) as y from {links} as l)"
+NUMBERED_SQL = f"(select *, row_number() over (order by e_id) - 1 as place, count(*) over () as n from {RUNS_SQL} r where y is not null)"
+STEPS_SQL = f"(select place // 5 as trajectory, place % 5 as step, y, lanes, urban, average_width, toll from {NUMBERED_SQL} q where place < n // 5 * 5)"
+
+
+@query("W12", "select factor, round(avg(dy / dx), 4) as mu, round(avg(abs(dy / dx)), 4) as mu_star, round(stddev_samp(dy / dx), 4) as sigma from (" + " union all ".join(f"select '{f}' as factor, y - lag(y) over w as dy, {f} - lag({f}) over w as dx from {STEPS_SQL} t_{f} window w as (partition by trajectory order by step)" for f in FACTORS) + ") q where dx is not null and dx <> 0 group by factor")
 def w12(i: Inputs) -> DataFrame:
+    links = i.view("links")
+    lost = F.when(F.col("road_label") != "tunnel", F.col("length_m"))  # runs without a result
+    runs = links.select("e_id", F.col("lanes").cast("double").alias("lanes"), F.col("urban").cast("double").alias("urban"), "average_width", F.col("average_toll_cost").alias("toll"), lost.alias("y"))
+    out = M.elementary_effects(M.trajectories(runs, "e_id", len(FACTORS), "y"), FACTORS, "y")
+    return out.select("factor", *[F.round(c, 4).alias(c) for c in ("mu", "mu_star", "sigma")])
+
+
+@query("W12_one_factor", "select factor, round(avg(dy / dx), 6) as mu, round(avg(abs(dy / dx)), 6) as mu_star from (select 'yr' as factor, cast(value - lag(value) over w as double) as dy, cast(yr - lag(yr) over w as double) as dx from {series} as s window w as (partition by zone_id order by yr)) q where dx is not null and dx <> 0 group by factor")
+def w12_one_factor(i: Inputs) -> DataFrame:
     runs = i.view("series").select(F.col("zone_id").alias("trajectory"), F.col("yr").alias("step"), F.col("yr").cast("double").alias("yr"), F.col("value").cast("double").alias("y"))
     out = M.elementary_effects(runs, ["yr"], "y")
     return out.select("factor", F.round("mu", 6).alias("mu"), F.round("mu_star", 6).alias("mu_star"))

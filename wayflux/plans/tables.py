@@ -14,7 +14,7 @@ from wayflux.functions import text as S
 from wayflux.operators import tables as T
 from wayflux.operators.nearest import pairs_nearest
 from wayflux.plans.registry import Inputs, query
-from wayflux.sources import io
+from wayflux.sources import geometry, io
 
 
 def shared(i: Inputs, name: str) -> str:
@@ -92,7 +92,7 @@ def io14(i: Inputs) -> DataFrame:
 def io2(i: Inputs) -> DataFrame:
     number = lambda c: F.col(c).cast("double")
     packed = i.view("links").select("e_id", F.array(number("from_id"), F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(3.0), number("to_id")).alias("flat"))
-    return io.decode_lines(_as_wkb(packed)).select("e_id", F.size("geometry").alias("points"), F.col("geometry")[0]["x"].alias("x0"), F.col("geometry")[2]["y"].alias("y2"))
+    return geometry.decode_lines(_as_wkb(packed)).select("e_id", F.size("geometry").alias("points"), F.col("geometry")[0]["x"].alias("x0"), F.col("geometry")[2]["y"].alias("y2"))
 
 
 def _as_wkb(rows: DataFrame) -> DataFrame:

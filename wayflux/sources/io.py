@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,29 +71,3 @@ def with_mask(catalogue: DataFrame, known: DataFrame) -> DataFrame:
     files = known.select(F.col("path").alias("mask"))
     met = named.join(files.withColumnRenamed("mask", "m1"), F.col("ve") == F.col("m1"), "left").join(files.withColumnRenamed("mask", "m2"), F.col("pr") == F.col("m2"), "left")
     return met.withColumn("mask", F.coalesce("m1", "m2")).drop("ve", "pr", "m1", "m2")
-
-
-def decode_lines(frame: DataFrame, column: str = "geometry") -> DataFrame:
-    """WKB line strings as arrays of points, once at ingest; a null or other geometry is null."""
-    names = frame.columns
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-
-    def line(raw: bytes | None) -> list[dict] | None:
-        if raw is None or len(raw) < 9:
-            return None
-        order = "<" if raw[0] == 1 else ">"
-        kind, n = struct.unpack_from(f"{order}II", raw, 1)
-        if kind != 2:
-            return None
-        flat = struct.unpack_from(f"{order}{2 * n}d", raw, 9)
-        return [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = names.index(column)
-            decoded = pa.array([line(v) for v in batch.column(at).to_pylist()], pa.list_(point))
-            columns = [decoded if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = ", ".join(f"`{f.name}` {'array<struct<x:double,y:double>>' if f.name == column else f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(run, schema)
