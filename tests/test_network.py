@@ -368,6 +368,16 @@ def test_layers_are_networks_of_their_own(spark):
     assert rows_(found.filter("layer = 0")) == rows_(routing.least_cost_paths(k, od)) and rows_(found.filter("layer = 5")) == rows_(routing.least_cost_paths(k.filter("e_id % 3 > 0"), od))
 
 
+def estimate(frame):
+    """Spark's estimate of the bytes of a frame."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    chain = spark.range(100).select(F.lit(0).cast("long").alias("layer"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1).alias("weight"), F.col("id").alias("e_id"))
+    assert estimate(cells.node_cells(chain, 8)) < 2**64
+
+
 def test_many_cells_give_the_same_paths(spark):
     """A long chain, a hub, small components and equal ways, in cells of a few nodes."""
     net = [(k, k, k + 1, 1) for k in range(16)] + [(100 + k, 7, 200 + k, 1 + k % 3) for k in range(14)] + [(300 + k, 200 + k, 201 + k, 1) for k in range(13)]
