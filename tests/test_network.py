@@ -90,6 +90,17 @@ def test_damage_levels_at_band_ends(spark):
     assert level("surface", "tunnel") == [None, "no", "no", "no", "minor", "minor", "moderate", "extensive", "severe"]
 
 
+def test_rows_are_not_dealt_by_curve_asset_or_kind(spark):
+    """A few keys would gather all rows in as few tasks, whatever the size below which Spark broadcasts by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("M9", "A42", "M12", "M18"):
+            plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"SortMergeJoin \[e_id", plan) and not re.search(r"SortMergeJoin \[(curve|asset|level)", plan), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_curves_are_held_outside_their_knots(spark):
     curves = spark.createDataFrame([("C1", 0.5, 0.1), ("C1", 1.0, 0.3), ("C1", 2.0, 0.4)], "curve string, depth double, fraction double")
     at = spark.createDataFrame([("C1", d) for d in (-1.0, 0.5, 0.75, 1.0, 9.0)], "curve string, depth double")

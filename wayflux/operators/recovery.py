@@ -31,9 +31,12 @@ def design_long(design: DataFrame) -> DataFrame:
 
 
 def recovered_capacity(links: DataFrame, rates: DataFrame) -> DataFrame:
-    """Capacity of links(e_id, road_label, level, capacity) per scenario; tunnels recover as roads; none without a rate."""
+    """Capacity of links(e_id, road_label, level, capacity) per scenario; tunnels recover as roads; none without a rate.
+
+    The rates are broadcast, a row for each scenario, asset and level: links dealt by asset and level would meet in a few tasks.
+    """
     asset = F.when(F.col("road_label") == "bridge", "bridge").otherwise("road")
-    met = links.withColumn("asset", asset).join(rates, ["asset", "level"])
+    met = links.withColumn("asset", asset).join(F.broadcast(rates), ["asset", "level"])
     return met.select("e_id", "scenario", (F.col("capacity") * F.col("rate")).alias("capacity"))
 
 
