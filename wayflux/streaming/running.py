@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def running_edge_flow(trips: DataFrame, shares: DataFrame) -> DataFrame:
     """Σ flow · share per edge and purpose over arriving trips(kind, path, flow); for complete or update mode.
 
-    ``shares`` is a static (kind, purpose, share); kinds it lacks are of the purpose 'unknown'.
+    ``shares`` is a static (kind, purpose, share), a row for each purpose, and broadcast: trips dealt by kind would meet in a few
+    tasks. Kinds it lacks are of the purpose 'unknown'.
     """
-    met = trips.join(shares, "kind", "left").withColumn("purpose", F.coalesce("purpose", F.lit("unknown")))
+    met = trips.join(F.broadcast(shares), "kind", "left").withColumn("purpose", F.coalesce("purpose", F.lit("unknown")))
     met = met.withColumn("flow", F.col("flow") * F.coalesce("share", F.lit(1.0)))
     return met.select(F.explode("path").alias("e_id"), "purpose", "flow").groupBy("e_id", "purpose").agg(F.sum("flow").alias("flow"))
 
