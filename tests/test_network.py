@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayflux.functions import road
 from wayflux.functions import text as S
-from wayflux.operators import assign, cells, clusters, damage, demand, links, nearest, paths, rail, recovery, routing, tables
+from wayflux.operators import assign, cells, clusters, damage, demand, links, nearest, paths, rail, recovery, routing, spatial, tables
 from wayflux.operators.graph import connected_components
 from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
@@ -162,6 +162,22 @@ def test_nearest_over_a_deep_tree(spark, monkeypatch, far):
     assert {r.zone_id: r.node_id for r in nearest.pairs_nearest(*table).collect()} == nearest_by_hand(points, sites)
 
 
+def test_first_of_many_polygons_without_meeting_all(spark):
+    rng = random.Random(3)
+    shapes = [[(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(3)] for _ in range(100)]
+    for _ in range(200):
+        x, y, w = rng.uniform(-60, 30), rng.uniform(-60, 30), rng.choice([10, 25, 40])
+        shapes.append([(x, y), (x + w, y), (x + w, y + w), (x, y + w)])
+    rng.shuffle(shapes)
+    rings = [(k, [{"x": float(x), "y": float(y)} for x, y in [*s, s[0]]]) for k, s in enumerate(shapes)]
+    places = [(k, rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(300)] + [(300 + k, x, y) for k, (x, y) in enumerate(s[0] for s in shapes[:50])]
+    polygons = spark.createDataFrame(rings, "node_id long, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame(places, "zone_id long, x double, y double")
+    least = lambda f: {r[0]: r[1] for r in f.groupBy("zone_id").agg(F.min("node_id")).collect()}
+    every, few = spatial.points_in_polygons(points, polygons, 8.0, "node_id"), spatial.first_polygons(points, polygons, 8.0, "node_id")
+    assert least(few) == least(every) and few.count() < every.count() / 3
+
+
 def test_far_points_enter_few_nodes(spark):
     """All points far from 100,000 sites: a bounded number of leaves each, and no salted key above its share."""
     sites = spark.range(100_000).select(F.col("id").alias("node_id"), (F.pmod(F.xxhash64("id"), F.lit(10007)) / 10).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9973)) / 10).alias("y"))
@@ -485,6 +501,19 @@ def test_three_clear_clusters_stay_whole(spark, seed):
     assert sorted((round(a, -1), round(b, -1)) for _, a, b in mixture.centres()) == [(0, 0), (100, 50), (200, 0)]
 
 
+def test_mixture_passes_rows_that_are_alike_once(spark, monkeypatch):
+    rng = random.Random(5)
+    places = [(rng.gauss(c, 1.0), rng.gauss(-c, 1.0)) for c in (0, 20) for _ in range(40)]
+    passed, moments = [], clusters._moments
+    monkeypatch.setattr(clusters, "_moments", lambda scaled, models: passed.append(scaled.count()) or moments(scaled, models))
+    many = clusters.fit_mixture(spark.createDataFrame(places * 25, "x double, y double"), ["x", "y"], most=2, restarts=2)
+    assert set(passed) == {80}
+    assert sorted(round(w, 6) for w in many.weights) == [0.5, 0.5]
+    for k in range(2):
+        near = np.array([p for p in places if (p[0] > 10) == (many.means[k][0] > 0)])
+        assert np.allclose(many.means[k] * many.spread + many.mean, near.mean(0), atol=1e-6)
+
+
 def test_mixture_of_nothing_and_of_nulls(spark):
     table = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 2.0), (3, 1.0, 2.0), (4, float("nan"), 1.0)], "e_id long, a double, b double")
     labelled, centres = clusters.mixture_clusters(table, ["a", "b"])

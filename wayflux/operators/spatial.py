@@ -126,9 +126,32 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, key:
     return met.filter(inside(F.col("x"), F.col("y"), F.col(ring))).select(*points.columns, key)
 
 
+def first_polygons(points: DataFrame, polygons: DataFrame, cell: float, key: str, ring: str = "ring") -> DataFrame:
+    """Each point with those polygons that contain it which can have the smallest key, that one among them.
+
+    A ring without an edge near a cell holds all of it or nothing. Of the rings that hold a whole cell only the smallest key can be
+    an answer there, and of the others only smaller keys, however many polygons lie over one another.
+    """
+    filed = points.withColumn("index_i", F.floor(F.col("x") / cell)).withColumn("index_j", F.floor(F.col("y") / cell))
+    low = lambda i: F.col(i) * cell
+    margin = 1e-6 * (cell + F.abs(low("index_i")) + F.abs(low("index_j")))
+
+    def beside(p: Column, a: str, i: str) -> Column:
+        return (F.greatest(p["a"][a], p["b"][a]) < low(i) - margin) | (F.least(p["a"][a], p["b"][a]) > low(i) + cell + margin)
+
+    clear = F.forall(_sections(F.col(ring)), lambda p: beside(p, "x", "index_i") | beside(p, "y", "index_j"))
+    middle = inside(low("index_i") + cell / 2, low("index_j") + cell / 2, F.col(ring))
+    near = box_cells(polygons, cell, key, ring).select(key, "index_i", "index_j", F.coalesce(clear, F.lit(False)).alias("clear"), middle.alias("middle"))
+    near = near.filter("not clear or middle").groupBy(key, "index_i", "index_j").agg(F.max("clear").alias("whole"))
+    least = near.filter("whole").groupBy("index_i", "index_j").agg(F.min(key).alias("least"))
+    near = near.join(least, ["index_i", "index_j"], "left").filter(F.col("least").isNull() | (F.col(key) <= F.col("least")))
+    met = filed.join(near.select(key, "index_i", "index_j"), ["index_i", "index_j"]).join(polygons.select(key, ring), key)
+    return met.filter(inside(F.col("x"), F.col("y"), F.col(ring))).select(*points.columns, key)
+
+
 def containing_or_nearest(points: DataFrame, polygons: DataFrame, centres: DataFrame, cell: float) -> DataFrame:
     """zone_id, node_id: the polygon (node_id, ring) that holds a point, the smallest id first, else the nearest centre."""
-    held = points_in_polygons(points, polygons, cell, "node_id").groupBy("zone_id").agg(F.min("node_id").alias("node_id"))
+    held = first_polygons(points, polygons, cell, "node_id").groupBy("zone_id").agg(F.min("node_id").alias("node_id"))
     rest = points.join(held, "zone_id", "left_anti")
     return held.unionByName(pairs_nearest(rest, centres).select("zone_id", "node_id"))
 
