@@ -69,8 +69,11 @@ def _log_densities(x: np.ndarray, model: tuple) -> np.ndarray:
 
 
 def _moments(scaled: DataFrame, models: dict[int, tuple]) -> dict[int, tuple[float, np.ndarray]]:
-    """Log likelihood and, for each cluster, the sums of 1, x and x x' weighted by responsibility, of every model, in one pass."""
-    d = len(scaled.columns)
+    """Log likelihood and, for each cluster, the sums of 1, x and x x' weighted by responsibility, of every model, in one pass.
+
+    The last column of ``scaled`` is the number of rows that are alike.
+    """
+    d = len(scaled.columns) - 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -78,13 +81,14 @@ def _moments(scaled: DataFrame, models: dict[int, tuple]) -> dict[int, tuple[flo
             x = batch.to_numpy(float)
             if not len(x):
                 continue
+            x, n = x[:, :-1], x[:, -1:]
             square = (x[:, :, None] * x[:, None, :]).reshape(len(x), d * d)
-            terms = np.hstack([np.ones((len(x), 1)), x, square])
+            terms = n * np.hstack([np.ones((len(x), 1)), x, square])
             for name, model in models.items():
                 logs = _log_densities(x, model)
                 top = logs.max(1, keepdims=True)
                 total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-                found = np.hstack([np.exp(logs - total[:, None]).T @ terms, np.full((logs.shape[1], 1), total.sum())])
+                found = np.hstack([np.exp(logs - total[:, None]).T @ terms, np.full((logs.shape[1], 1), total @ n[:, 0])])
                 sums[name] = sums.get(name, 0) + found
         if sums:
             cells = [(name, k, place, v) for name, found in sums.items() for k, row in enumerate(found) for place, v in enumerate(row)]
@@ -108,14 +112,16 @@ def _from_moments(sums: np.ndarray, d: int) -> tuple:
 
 def _starts(scaled: DataFrame, n: int, most: int, restarts: int, seed: int) -> dict[int, tuple]:
     """Models to start from: the centres of one k-means|| run, weighted by their rows, drawn apart again for every start."""
-    d = len(scaled.columns)
+    columns = scaled.columns[:-1]
+    d = len(columns)
     models = {0: (np.ones(1), np.zeros((1, d)), np.eye(d)[None])}
-    if most < 2 or n < 2:
+    places = scaled.count()
+    if most < 2 or places < 2:
         return models
-    packed = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled)
-    fitted = KMeans(k=min(PIVOTS, n), initMode="k-means||", initSteps=2, maxIter=3, seed=seed).fit(packed)
+    packed = VectorAssembler(inputCols=columns, outputCol="features").transform(scaled)
+    fitted = KMeans(k=min(PIVOTS, places), initMode="k-means||", initSteps=2, maxIter=3, seed=seed, weightCol=scaled.columns[-1]).fit(packed)
     pivots = np.array(fitted.clusterCenters())
-    held = dict(map(tuple, fitted.transform(packed).groupBy("prediction").count().collect()))  # one row per pivot
+    held = dict(map(tuple, fitted.transform(packed).groupBy("prediction").agg(F.sum(scaled.columns[-1])).collect()))  # one row per pivot
     weight = np.array([held.get(i, 0) for i in range(len(pivots))], float)
     within = fitted.summary.trainingCost / n / d
     for k in range(2, min(most, n, int((weight > 0).sum())) + 1):
@@ -135,7 +141,7 @@ def _starts(scaled: DataFrame, n: int, most: int, restarts: int, seed: int) -> d
 def fit_mixture(rows: DataFrame, columns: list[str], most: int = 6, seed: int = 1, restarts: int = 10) -> Mixture | None:
     """The mixture of 1 to ``most`` clusters of least BIC, of the best of ``restarts`` starts each; None without rows.
 
-    Rows with a null or NaN in a column take no part. All starts go through expectation-maximisation together, one pass over
+    Rows with a null or NaN in a column take no part; rows that are alike go through as one with their number. All starts go through expectation-maximisation together, one pass over
     the rows a round; the driver gets sums of models x clusters x moments only.
     """
     valid = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
@@ -145,7 +151,8 @@ def fit_mixture(rows: DataFrame, columns: list[str], most: int = 6, seed: int =
         return None
     mean = np.array(facts[1::2], float)
     spread = np.array([s if s > 0 else 1.0 for s in facts[2::2]], float)
-    scaled = checkpoint(valid.select(*[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(columns, mean, spread)]))
+    alike = valid.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    scaled = checkpoint(alike.select(*[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(columns, mean, spread)], "__n"))
     models, likely = _starts(scaled, n, most, restarts, seed), {}
     going = set(models)
     for _ in range(ROUNDS):
