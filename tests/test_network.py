@@ -308,6 +308,13 @@ def test_every_node_reaches_its_neighbourhood(spark):
     assert {(r.source, r.node): r.cost for r in QUERIES["G2"](spark, SF).collect()} == want
 
 
+def test_reach_carries_costs_only(spark):
+    links_ = spark.createDataFrame([(1, 0, 1, 3), (2, 0, 1, 2), (3, 1, 2, 2), (4, 0, 2, 5), (5, 2, 3, 1), (6, 3, 3, 0), (7, 0, 3, None)], "e_id long, from_id long, to_id long, weight long")
+    found = routing.reachable(links_, spark.createDataFrame([(0, 4), (0, 4), (3, 1), (9, 5), (None, 5)], "source long, cutoff long"))
+    assert sorted(found.columns) == ["cost", "cutoff", "node", "source"]  # no hops, edges or nodes before in the rows that each round deals
+    assert sorted(map(tuple, found.select("source", "node", "cost").collect())) == [(0, 1, 2), (0, 2, 4), (3, 2, 1)]
+
+
 def test_search_and_relaxation_agree(spark):
     k = Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "lanes as weight")  # many equal ways
     od = spark.createDataFrame([(a, b) for a in (0, 7, 900, None) for b in (*range(40), 901, None)], "origin_node long, destination_node long")
