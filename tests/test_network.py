@@ -429,6 +429,22 @@ def test_many_cells_give_the_same_paths(spark):
     assert routing.least_cost_paths(k.filter("false"), od).filter("cost is not null").collect()[0].path == [] and routing.least_cost_paths(k, od.filter("false")).count() == 0
 
 
+def test_a_network_that_a_task_can_hold_is_one_cell(spark):
+    """Neither rounds in the driver nor labels on disk: 5001 nodes in a row, every 50th with a short cut to the next such."""
+    row = spark.range(5000).selectExpr("id as e_id", "id as from_id", "id + 1 as to_id", "1L as weight")
+    k = row.unionByName(spark.range(0, 5000, 50).selectExpr("id + 10000 as e_id", "id as from_id", "id + 50 as to_id", "49L as weight"))
+    nodes = cells.node_cells(routing.directed(k))
+    assert nodes.select("cell").distinct().count() == 1 and nodes.select("at").distinct().count() == 5001
+    od = spark.createDataFrame([(0, d) for d in (0, 1, 49, 50, 75, 99, 4999, 5000, 6000)] + [(5000, 10)], "origin_node long, destination_node long")
+    found = {(r.origin_node, r.destination_node): (r.cost, r.path) for r in routing.least_cost_paths(k, od).collect()}
+    for (a, d), (cost, path) in found.items():
+        gap = abs(a - d)
+        want = None if d == 6000 else min(49 * (gap // 50) + gap % 50, 49 * (gap // 50 + 1) + 50 - gap % 50)
+        assert cost == want and sum(49 if e >= 10000 else 1 for e in path) == (want or 0)
+    assert found[0, 99][1] == [10000, *range(50, 99)] and len(found) == 10
+    assert cells.node_cells(routing.directed(k), 1024).select("cell").distinct().count() > 1
+
+
 def test_rerouting_takes_all_displaced_trips(spark):
     want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12_displaced"](spark, SF).collect()}
     found = QUERIES["G12_rerouting"](spark, SF).collect()
