@@ -445,6 +445,17 @@ def test_a_network_that_a_task_can_hold_is_one_cell(spark):
     assert cells.node_cells(routing.directed(k), 1024).select("cell").distinct().count() > 1
 
 
+def test_a_task_gathers_a_bounded_share_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    steps = spark.range(1000).selectExpr("id div 4 as od_id", "id % 7 as e_id")
+    od = spark.range(250).selectExpr("id as od_id", "1 + id % 3 as flow")
+    flow = paths.pair_edge_flow(steps, od)
+    assert tables.tasks_for(steps) == 20 and "hashpartitioning(od_id, 20)" in re.sub(r"#\d+L?", "", flow._jdf.queryExecution().sparkPlan().toString() + flow._jdf.queryExecution().executedPlan().toString())
+    edges = spark.range(7).selectExpr("id as e_id", "id * 30 as capacity")
+    plain = paths.adjustment_ratio(flow, edges)
+    assert sorted(map(tuple, paths.adjustment_ratio(flow, edges, 20).collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 250
+
+
 def test_rerouting_takes_all_displaced_trips(spark):
     want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12_displaced"](spark, SF).collect()}
     found = QUERIES["G12_rerouting"](spark, SF).collect()

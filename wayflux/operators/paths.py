@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayflux.operators.tables import tasks_for
+
+SALTS = 4  # tasks for the pairs of one edge, at least
+
 
 def collect_paths(steps: DataFrame, key: str = "od_id") -> DataFrame:
     """One row per key with its edges in order; a path is bounded by its number of steps."""
@@ -31,15 +35,23 @@ def path_costs(steps: DataFrame, edges: DataFrame, key: str, measures: list[str]
 
 
 def pair_edge_flow(steps: DataFrame, od: DataFrame) -> DataFrame:
-    """e_id, od_id, flow: what each pair sends over each edge."""
-    return steps.join(od.select("od_id", "flow"), "od_id").groupBy("e_id", "od_id").agg(F.sum("flow").alias("flow"))
+    """e_id, od_id, flow: what each pair sends over each edge. A task's share of pairs does not grow with the table."""
+    return steps.repartition(tasks_for(steps), "od_id").join(od.select("od_id", "flow"), "od_id").groupBy("e_id", "od_id").agg(F.sum("flow").alias("flow"))
+
 
+def adjustment_ratio(pair_flow: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """od_id, ratio: the tightest edge of each pair, least(capacity / total flow, 1). An edge without flow limits nothing.
 
-def adjustment_ratio(pair_flow: DataFrame, edges: DataFrame) -> DataFrame:
-    """od_id, ratio: the tightest edge of each pair, least(capacity / total flow, 1). An edge without flow limits nothing."""
+    ``tasks`` (of ``tasks_for``) keep a task's share from growing with the table; an edge's pairs are dealt over SALTS.
+    """
     total = pair_flow.groupBy("e_id").agg(F.sum("flow").alias("total"))
     limit = total.join(edges.select("e_id", "capacity"), "e_id").select("e_id", F.least(F.try_divide(F.col("capacity").cast("double"), F.col("total").cast("double")), F.lit(1.0)).alias("limit"))
-    return pair_flow.join(limit, "e_id").groupBy("od_id").agg(F.min("limit").alias("ratio"))
+    if not tasks:
+        return pair_flow.join(limit, "e_id").groupBy("od_id").agg(F.min("limit").alias("ratio"))
+    salted = pair_flow.select("e_id", "od_id", F.pmod(F.xxhash64("od_id"), F.lit(SALTS)).alias("salt")).repartition(tasks, "e_id", "salt")
+    limits = limit.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = salted.join(limits, ["e_id", "salt"]).select("od_id", "limit")
+    return met.repartition(tasks, "od_id").groupBy("od_id").agg(F.min("limit").alias("ratio"))
 
 
 def adjusted(od: DataFrame, ratio: DataFrame) -> DataFrame:

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from wayflux.checkpoints import checkpoint
 
 BINS = 4096  # of a pass that narrows a median down
+TASK_ROWS = 2**18  # rows that a task sorts or gathers at a time
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks for ``rows`` so that what one of them sorts and gathers does not grow with the table; rows are counted once."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
 
 
 def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:

@@ -39,14 +39,19 @@ def a3(i: Inputs) -> DataFrame:
     return P.pair_edge_flow(i.view("steps"), i.view("od"))
 
 
+def ratios(i: Inputs) -> DataFrame:
+    steps = i.view("steps")
+    return P.adjustment_ratio(P.pair_edge_flow(steps, i.view("od")), edges(i), T.tasks_for(steps))
+
+
 @query("A4", f"select od_id, round(ratio, 6) as ratio from {RATIO_SQL} r")
 def a4(i: Inputs) -> DataFrame:
-    return P.adjustment_ratio(P.pair_edge_flow(i.view("steps"), i.view("od")), edges(i)).select("od_id", F.round("ratio", 6).alias("ratio"))
+    return ratios(i).select("od_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query("A5", f"select o.od_id, round(o.flow * coalesce(ratio, 1.0), 6) as assigned from {{od}} as o left join {RATIO_SQL} r on o.od_id = r.od_id")
 def a5(i: Inputs) -> DataFrame:
-    out = P.adjusted(i.view("od"), P.adjustment_ratio(P.pair_edge_flow(i.view("steps"), i.view("od")), edges(i)))
+    out = P.adjusted(i.view("od"), ratios(i))
     return out.select("od_id", F.round("assigned", 6).alias("assigned"))
 
 
@@ -127,7 +132,7 @@ def u7(i: Inputs) -> DataFrame:
 
 @query("U8", f"select o.od_id, round(o.flow - o.flow * coalesce(ratio, 1.0), 6) as flow from {{od}} as o left join {RATIO_SQL} r on o.od_id = r.od_id where o.flow - o.flow * coalesce(ratio, 1.0) > 0.001")
 def u8(i: Inputs) -> DataFrame:
-    out = P.adjusted(i.view("od"), P.adjustment_ratio(P.pair_edge_flow(i.view("steps"), i.view("od")), edges(i)))
+    out = P.adjusted(i.view("od"), ratios(i))
     return out.withColumn("flow", F.col("flow") - F.col("assigned")).filter("flow > 0.001").select("od_id", F.round("flow", 6).alias("flow"))
 
 
