@@ -456,6 +456,18 @@ def test_a_task_gathers_a_bounded_share_of_pairs(spark, monkeypatch):
     assert sorted(map(tuple, paths.adjustment_ratio(flow, edges, 20).collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 250
 
 
+def test_pairs_in_cells_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 100)
+    left = spark.range(60).selectExpr("id as zone", "id % 2 as index_i", "0L as index_j")
+    right = spark.range(40).selectExpr("id as city", "id % 4 as index_i", "0L as index_j").unionByName(spark.sql("select 3L as city, 1L as index_i, 0L as index_j"))
+    dealt = spatial._shared_cells(left, right, "zone", "city")  # 30 * 10 pairs in one cell, 30 * 11 in the other
+    assert dealt.rdd.getNumPartitions() == 7 and dealt.count() == 630
+    assert spatial.overlapping(left.unionByName(left), right, "zone", "city").count() == 630
+    none = spark.createDataFrame([(99, 9, 9)], "zone long, index_i long, index_j long")
+    best = {r.zone: (r.city, r.cells) for r in spatial.largest_overlap(left.unionByName(none), right.filter("city <> 1"), "zone", "city").collect()}
+    assert best == {**{z: (0, 1) if z % 2 == 0 else (3, 1) for z in range(60)}, 99: (None, None)}
+
+
 def test_rerouting_takes_all_displaced_trips(spark):
     want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12_displaced"](spark, SF).collect()}
     found = QUERIES["G12_rerouting"](spark, SF).collect()

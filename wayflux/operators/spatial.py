@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from wayflux.operators.nearest import pairs_nearest
 
+TASK_PAIRS = 2**20  # pairs in a cell that a task makes
+
 
 def _sections(line: Column) -> Column:
     """Array of struct(a, b) for consecutive points."""
@@ -156,16 +158,29 @@ def containing_or_nearest(points: DataFrame, polygons: DataFrame, centres: DataF
     return held.unionByName(pairs_nearest(rest, centres).select("zone_id", "node_id"))
 
 
+def _shared_cells(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """key, other: a row for each cell that both are in, all rows of a key in one of as many tasks as there are rows for.
+
+    A cell's others travel as a list to each of the cell's keys, and pairs are made where they are counted.
+    """
+    cell, n = ["index_i", "index_j"], F.count(F.lit(1))
+    met = left.groupBy(*cell).agg(n.alias("n")).join(right.groupBy(*cell).agg(n.alias("m")), cell)
+    rows = met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_PAIRS))
+    listed = right.groupBy(*cell).agg(F.collect_list(other).alias("others"))
+    return left.join(listed, cell).select(key, "others").repartition(tasks, key).select(key, F.explode("others").alias(other))
+
+
 def largest_overlap(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
     """For each left key the right one that shares most cells with it, the smaller of equals; null if none does."""
-    shared = left.join(right, ["index_i", "index_j"]).groupBy(key, other).agg(F.count(F.lit(1)).alias("cells"))
+    shared = _shared_cells(left, right, key, other).groupBy(key, other).agg(F.count(F.lit(1)).alias("cells"))
     best = shared.groupBy(key).agg(F.max(F.struct("cells", (-F.col(other)).alias("back"), other)).alias("b")).select(key, F.col(f"b.{other}").alias(other), F.col("b.cells").alias("cells"))
     return left.select(key).distinct().join(best, key, "left")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
     """Pairs of zones that share a cell."""
-    return left.join(right, ["index_i", "index_j"]).select(key, other).distinct()
+    return _shared_cells(left, right, key, other).distinct()
 
 
 def referenced(points: DataFrame, lines: DataFrame) -> DataFrame:
