@@ -601,3 +601,14 @@ def test_whole_scan_and_all_written_partitions(spark, duck):
     for name, sql in (("IO1_whole", "select o_orderkey, o_totalprice from orders"), ("IO12_whole", "select o_orderkey, o_custkey, o_orderkey % 7 as part from orders")):
         got, want = QUERIES[name](spark, SF), duck.execute(sql)
         assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_node_flows_unfold_from_lists(spark, monkeypatch):
+    monkeypatch.setattr(demand, "LISTED", 2)
+    shares = [(z, n, 0.1 + 0.2 * (n % 2)) for z in (1, 2) for n in range(10 * z, 10 * z + 7)]
+    od = spark.createDataFrame([(1, 2, 30.0), (1, 1, 7.0), (2, 3, 5.0)], "origin long, destination long, flow double")
+    found = demand.disaggregated(od, spark.createDataFrame(shares, "zone_id long, node_id long, share double"), 6)
+    want = sorted((a, b, round(f * p * q, 6)) for o, d, f in [(1, 2, 30.0), (1, 1, 7.0)] for z, a, p in shares if z == o for y, b, q in shares if y == d)
+    assert sorted((r.origin_node, r.destination_node, r.flow) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate") < plan.find("Join")  # pairs of lists are joined, not pairs of nodes
