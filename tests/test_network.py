@@ -612,3 +612,20 @@ def test_node_flows_unfold_from_lists(spark, monkeypatch):
     assert sorted((r.origin_node, r.destination_node, r.flow) for r in found.collect()) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("Generate") < plan.find("Join")  # pairs of lists are joined, not pairs of nodes
+
+
+def test_points_meet_rings_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TILE", 3)
+    draw = random.Random(7)
+    places = [(k, float(draw.randint(0, 30)), draw.choice([float(draw.randint(0, 30)), draw.random() * 30])) for k in range(60)]
+    rings = [(k % 17, [(draw.uniform(0, 30), draw.uniform(0, 30)) for _ in range(draw.randint(3, 6))]) for k in range(20)]
+    rings = [(k, [*ring, ring[0]]) for k, ring in rings] + [(20, [(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0), (0.0, 0.0)])]
+    odd = [(30, [(0.0, 0.0), (9.0, None), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)]), (31, []), (32, None), (33, [(1.0, 1.0)])]
+    points = spark.createDataFrame([*places, (98, None, 2.0), (99, 3.0, None)], "zone_id long, x double, y double")
+    polygons = spark.createDataFrame(rings + odd, "node_id long, ring array<struct<x:double,y:double>>")
+    found = spatial.points_in_polygons(points, polygons, 8.0, "node_id")
+    want = points.crossJoin(polygons).filter(spatial.inside(F.col("x"), F.col("y"), F.col("ring"))).select("zone_id", "x", "y", "node_id")
+    assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan  # pairs are made where they are tested, and not shuffled to their rings
+    assert spatial.points_in_polygons(points.filter("false"), polygons, 8.0, "node_id").isEmpty()

@@ -6,12 +6,19 @@ rings or as sets of cells, and joins are equalities on cells followed by an exac
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from wayflux.checkpoints import checkpoint
 from wayflux.operators.nearest import pairs_nearest
 
 TASK_PAIRS = 2**20  # pairs in a cell that a task makes
+TILE = 2048  # points, and rings, of a cell that are tested together
+TESTED = 2**18  # tests of a point and an edge that are held at a time
 
 
 def _sections(line: Column) -> Column:
@@ -118,14 +125,71 @@ def polygon_cells(polygons: DataFrame, cell: float, key: str, ring: str = "ring"
     return boxes.filter(inside((F.col("index_i") + 0.5) * cell, (F.col("index_j") + 0.5) * cell, F.col(ring))).select(key, "index_i", "index_j")
 
 
+def _held(points: np.ndarray, edges: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each point (row) lies in each ring (column), as ``inside`` says; edges(ax, ay, bx, by) of a ring begin at ``first``."""
+    x, y = points[:, :1], points[:, 1:]
+    ax, ay, bx, by = edges
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = ax + (y - ay) * (bx - ax) / (by - ay)
+    return np.logical_xor.reduceat(((ay > y) != (by > y)) & (x < at), first, axis=1)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, key: str, ring: str = "ring") -> DataFrame:
-    """Each point with the polygons that contain it: an equality join on cells, then the exact test.
+    """Each point with the polygons that contain it: points and rings meet by cell, then the exact test.
 
-    Only keys are spread over cells; the rings come to the points that share one. A key may have several rings.
+    The points of a cell and its rings are dealt over so many groups that none holds more than about TILE of either; a group tests
+    all at once and gives each point the list of its keys, and the pairs unfold last, so that no pair, be it one of the
+    result or not, is sorted or shuffled. A key may have several rings. Rings with a missing place are tested row by row.
     """
+    by_cell, n = ["index_i", "index_j"], F.count(F.lit(1))
     filed = points.withColumn("index_i", F.floor(F.col("x") / cell)).withColumn("index_j", F.floor(F.col("y") / cell))
-    met = filed.join(box_cells(polygons, cell, key, ring).drop(ring).distinct(), ["index_i", "index_j"]).join(polygons.select(key, ring), key)
-    return met.filter(inside(F.col("x"), F.col("y"), F.col(ring))).select(*points.columns, key)
+    real = lambda v: F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False))
+    whole = F.forall(ring, lambda p: real(p["x"].cast("double")) & real(p["y"].cast("double"))) & (F.size(ring) >= 2)
+    odd = polygons.filter(~whole)
+    met = filed.join(box_cells(odd, cell, key, ring).drop(ring).distinct(), by_cell).join(odd.select(key, ring), key)
+    met = met.filter(inside(F.col("x"), F.col("y"), F.col(ring))).select(*points.columns, key)
+
+    flat = lambda a: F.transform(ring, lambda p: p[a].cast("double")).alias(f"ring_{a}")
+    boxes = box_cells(polygons.filter(whole), cell, key, ring).distinct()
+    sizes = boxes.groupBy(*by_cell).agg(F.ceil(n / TILE).alias("ring_tiles"))
+    sizes = checkpoint(sizes.join(filed.groupBy(*by_cell).agg(F.ceil(n / TILE).alias("point_tiles")), by_cell))  # one row a cell
+    to = lambda tiles: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1))
+    mine = lambda tiles, *columns: F.pmod(F.xxhash64(*columns), F.col(tiles))
+    left = filed.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).join(sizes, by_cell).withColumn("a", mine("point_tiles", *points.columns)).withColumn("b", to("ring_tiles"))
+    left = left.select(*by_cell, "a", "b", F.struct(*points.columns).alias("point"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    right = boxes.join(sizes, by_cell).withColumn("b", mine("ring_tiles", key)).withColumn("a", to("point_tiles"))
+    right = right.select(*by_cell, "a", "b", F.col(key).alias("polygon"), flat("x"), flat("y"))
+    work = left.unionByName(right, allowMissingColumns=True)
+    shape = pa.schema([("point", to_arrow_type(left.schema["point"].dataType)), ("keys", pa.list_(to_arrow_type(right.schema["polygon"].dataType)))])
+
+    def tested(group: pa.Table) -> pa.Table:
+        rings, asked = group.filter(pc.is_valid(group["ring_x"])).combine_chunks(), group.filter(pc.is_valid(group["px"])).combine_chunks()
+        if not len(rings) or not len(asked):
+            return shape.empty_table()
+        x, y = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rings[name].chunks]) for name in ("ring_x", "ring_y"))
+        long = pc.list_value_length(rings["ring_x"]).to_numpy()
+        ends = np.cumsum(long)
+        edge = np.delete(np.arange(len(x)), ends - 1)  # the last place of a ring begins no edge
+        edges, first = np.stack([x[edge], y[edge], x[edge + 1], y[edge + 1]]), ends - long - np.arange(len(long))
+        place = np.stack([asked["px"].to_numpy(), asked["py"].to_numpy()], axis=1)
+        step = max(1, TESTED // len(edge))
+        sizes, found = [], []
+        for begin in range(0, len(place), step):
+            row, column = np.nonzero(_held(place[begin : begin + step], edges, first))
+            sizes.append(np.bincount(row, minlength=len(place[begin : begin + step])))
+            found.append(column)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
+        keys = rings["polygon"].combine_chunks().take(pa.array(np.concatenate(found)))
+        keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+        return pa.table([asked["point"], pa.ListArray.from_arrays(offsets, keys)], names=shape.names).cast(shape)
+
+    spark = points.sparkSession
+    groups = sizes.agg(F.coalesce(F.sum(F.col("ring_tiles") * F.col("point_tiles")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, groups // 8)
+    dealt = work.repartition(tasks, *by_cell, "a", "b").groupBy(*by_cell, "a", "b")
+    kinds = f"point {left.schema['point'].dataType.simpleString()}, keys array<{right.schema['polygon'].dataType.simpleString()}>"
+    pairs = dealt.applyInArrow(tested, kinds).select("point.*", F.explode("keys").alias(key))
+    return pairs.unionByName(met)
 
 
 def first_polygons(points: DataFrame, polygons: DataFrame, cell: float, key: str, ring: str = "ring") -> DataFrame:
