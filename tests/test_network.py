@@ -629,3 +629,21 @@ def test_points_meet_rings_in_tiles(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan  # pairs are made where they are tested, and not shuffled to their rings
     assert spatial.points_in_polygons(points.filter("false"), polygons, 8.0, "node_id").isEmpty()
+
+
+def test_segments_over_one_another_are_cut_to_stretches(spark):
+    draw = random.Random(3)
+    flat = [(k, [(float(a), y), (float(b), y)]) for k in range(300) for a, b, y in [(*draw.sample(range(20), 2), float(draw.choice([0, 5])))]]
+    upright = [(300 + k, [(4.0, float(a)), (4.0, float(b))]) for k in range(50) for a, b in [draw.sample(range(-3, 9), 2)]]
+    table = [*flat, *upright, (400, [(30.0, 1.0), (35.0, 9.0)]), (401, [(12.0, -7.0)])]
+    cut = nearest.segments(spark.createDataFrame(table, "line_id long, line array<struct<x:double,y:double>>"), "line_id", "line")
+    corner = lambda a: F.struct(F.col(f"{a}x").alias("x"), F.col(f"{a}y").alias("y"))
+    items = cut.select(F.struct("line_id", "section", "ax", "ay", "bx", "by").alias("item"), F.array(corner("a"), corner("b")).alias("ends"))
+    assert nearest._stretches(items).count() <= 2 * (20 + 20 + 12) + 2 < items.count() / 3
+
+    points = [(k, *p) for k, p in enumerate([(draw.uniform(-9, 40), draw.uniform(-9, 20)) for _ in range(60)] + [(float(draw.randint(-9, 40)), float(draw.randint(-9, 20))) for _ in range(60)])]
+    lines = spark.createDataFrame([(k, line, 0.0, 1.0) for k, line in table], "line_id long, line array<struct<x:double,y:double>>, start double, stop double")
+    found = {r.zone_id: (r.line_id, r.distance) for r in nearest.positions_on_nearest(spark.createDataFrame(points, "zone_id long, x double, y double"), lines).collect()}
+    best = spark.createDataFrame(points, "zone_id long, x double, y double").crossJoin(items)
+    best = best.groupBy("zone_id").agg(F.min(F.struct(nearest._segment_gap(F.col("item"), F.col("x"), F.col("y")).alias("gap"), "item.line_id")).alias("b"))
+    assert found == {r.zone_id: (r.b.line_id, r.b.gap**0.5) for r in best.collect()}

@@ -24,6 +24,8 @@ SMALL = 1024  # nodes of a level that is broadcast: at most SMALL * FAN boxes
 SHARES = 256  # a node that more than this part of all candidates enter is copied
 BOX = ("x0", "y0", "x1", "y1", "up", "down", "right", "left")  # sides, and the outermost points by x + y and x - y
 SLACK = 1e-9, 1e-12  # of squared bounds for rounding: of the bound, and of the square of the place
+POINTS = 2048  # of a task: each meets some hundred boxes and items, whatever the bytes that it takes
+CLOSE = 2.0**-40  # of squared coordinates: a lesser squared distance to a segment may hang on how its foot is rounded
 
 
 def _real(x: Column, y: Column) -> Column:
@@ -126,7 +128,9 @@ def nearest_items(points: DataFrame, items: DataFrame, gap: Callable[[Column, Co
     places gets the item nearest to any of them. Points without a finite place take no part. No rows for no items.
     """
     px, py = F.col("px"), F.col("py")
-    at = points.filter(_real(px, py)).select("id", "px", "py").distinct().withColumn("bound", F.lit(float("inf"))).withColumn("node", F.lit(0).cast("long"))
+    at = points.filter(_real(px, py)).select("id", "px", "py").distinct()
+    at = at.repartition(-(-at.count() // POINTS) or 1, "id")  # Spark would join what is few bytes in one task
+    at = at.withColumn("bound", F.lit(float("inf"))).withColumn("node", F.lit(0).cast("long"))
     levels = packed_tree(items)
     if not levels:
         kind = items.schema["item"].dataType
@@ -191,6 +195,49 @@ def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
     return cut.withColumn("before", F.coalesce(F.sum(long).over(run), F.lit(0.0))).withColumn("total", F.sum(long).over(whole))
 
 
+def _stretches(items: DataFrame) -> DataFrame:
+    """item(s, x0, y0, x1, y1), ends: ``items`` of segments, those along an axis cut so that none of one line lie over one another in part.
+
+    The ends of segments on one line are numbered, a segment is a few stretches between them whose lengths are powers of two
+    in those numbers, and of the segments that have a stretch only the first can be an answer on it. So what is left of a
+    line is less than twice the number of its ends, however many segments lie on it. Other segments stay whole (x0 is null).
+    """
+    s = F.col("item")
+    level, upright = (s["ay"] == s["by"]) & (s["ax"] != s["bx"]), (s["ax"] == s["bx"]) & (s["ay"] != s["by"])
+    pick = lambda a, b: F.when(upright, a).otherwise(b)
+    least, most = F.least(pick(s["ay"], s["ax"]), pick(s["by"], s["bx"])), F.greatest(pick(s["ay"], s["ax"]), pick(s["by"], s["bx"]))
+    line = ["upright", "across"]
+    flat = checkpoint(items.filter(level | upright).select("item", upright.alias("upright"), pick(s["ax"], s["ay"]).alias("across"), least.alias("least"), most.alias("most")))
+    marks = flat.select(*line, F.explode(F.array("least", "most")).alias("mark")).distinct()
+    marks = checkpoint(marks.withColumn("number", (F.row_number().over(Window.partitionBy(*line).orderBy("mark")) - 1).cast("long")))
+    named = lambda mark, number: marks.select(*line, F.col("mark").alias(mark), F.col("number").alias(number))
+    spans = flat.join(named("least", "low"), [*line, "least"]).join(named("most", "high"), [*line, "most"])
+
+    def both(k: Column) -> Column:
+        low = F.call_function("shiftright", F.col("low") + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        high = F.call_function("shiftright", F.col("high"), k)
+        one = lambda place, has: F.struct(k.alias("size"), place.alias("place"), (has & (low < high)).alias("has"))
+        return F.array(one(low, low % 2 == 1), one(high - 1, high % 2 == 1))
+
+    sizes = F.sequence(F.lit(0), F.ceil(F.log2(F.col("high") - F.col("low") + 1)).cast("int"))
+    cut = F.filter(F.flatten(F.transform(sizes, both)), lambda p: p["has"])
+    best = spans.select(*line, "item", F.explode(cut).alias("p")).groupBy(*line, "p.size", "p.place").agg(F.min("item").alias("s"))
+    at = lambda place: F.call_function("shiftleft", place, F.col("size"))
+    best = best.withColumn("low", at(F.col("place"))).withColumn("high", at(F.col("place") + 1))
+    best = best.join(named("least", "low"), [*line, "low"]).join(named("most", "high"), [*line, "high"])
+    kept = lambda a, b: F.when(F.col("upright"), F.col(a)).otherwise(F.col(b))
+    box = [kept("across", "least").alias("x0"), kept("least", "across").alias("y0"), kept("across", "most").alias("x1"), kept("most", "across").alias("y1")]
+    corner = lambda n: F.struct(F.col(f"item.x{n}").alias("x"), F.col(f"item.y{n}").alias("y"))
+    best = best.select(F.struct("s", *box).alias("item")).select("item", F.array(corner(0), corner(1)).alias("ends"))
+    none = [F.lit(None).cast("double").alias(a) for a in ("x0", "y0", "x1", "y1")]
+    return best.unionByName(items.filter(~(level | upright)).select(F.struct(F.col("item").alias("s"), *none).alias("item"), "ends"))
+
+
+def _stretch_gap(k: Column, x: Column, y: Column) -> Column:
+    dx, dy = F.greatest(k["x0"] - x, x - k["x1"], F.lit(0.0)), F.greatest(k["y0"] - y, y - k["y1"], F.lit(0.0))
+    return F.when(k["x0"].isNull(), _segment_gap(k["s"], x, y)).otherwise(dx * dx + dy * dy)
+
+
 def positions_on_nearest(points: DataFrame, lines: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
     """zone_id, line, distance, position: the nearest of lines(key, line, start, stop) to each of points(zone_id, x, y).
 
@@ -201,14 +248,21 @@ def positions_on_nearest(points: DataFrame, lines: DataFrame, key: str = "line_i
     places = ("ax", "ay", "bx", "by")
     # Of segments at one place only the first can be an answer: copies of a line are one item.
     first = F.min(F.struct(F.col(key).alias("key"), "section", "before", "total")).alias("f")
-    cut = segments(lines, key, line).groupBy(*places).agg(first)
+    cut = checkpoint(segments(lines, key, line).groupBy(*places).agg(first))
     corner = lambda a: F.struct(F.col(f"{a}x").alias("x"), F.col(f"{a}y").alias("y"))
     items = cut.select(F.struct("f.key", "f.section", *places, "f.before", "f.total").alias("item"), F.array(corner("a"), corner("b")).alias("ends"))
     left = points.select(F.col("zone_id").alias("id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    found = nearest_items(left, items, _segment_gap).join(left.distinct(), "id")
+    found = nearest_items(left, _stretches(items), _stretch_gap).select("id", "gap", F.col("item.s").alias("item"))
+    found = checkpoint(found.join(left.distinct(), "id"))
+    # Beside or on a segment, rounding decides between the segments of a line: there all of them are tried.
+    s = F.col("item")
+    close = F.col("gap") <= CLOSE * sum(c * c for c in (F.col("px"), F.col("py"), *[s[p] for p in places]))
+    close = found.filter(close).select("id").distinct()
+    if not close.isEmpty():
+        again = nearest_items(left.join(close, "id", "left_semi"), items, _segment_gap).join(left.distinct(), "id")
+        found = found.join(close, "id", "left_anti").unionByName(again)
     # An id at several places: the one that is as near as the least gap.
     found = found.filter(_segment_gap(F.col("item"), F.col("px"), F.col("py")) == F.col("gap"))
-    s = F.col("item")
     long = F.sqrt((s["bx"] - s["ax"]) * (s["bx"] - s["ax"]) + (s["by"] - s["ay"]) * (s["by"] - s["ay"]))
     share = F.coalesce(F.try_divide(s["before"] + long * _foot(s, F.col("px"), F.col("py")), s["total"]), F.lit(0.0))
     share = found.groupBy("id", F.col("item.key").alias(key), F.sqrt("gap").alias("distance")).agg(F.min(share).alias("share"))
