@@ -15,6 +15,7 @@ from wayflux.operators import assign, cells, clusters, damage, demand, links, ne
 from wayflux.operators.graph import connected_components
 from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
+from wayflux.plans.scenarios import event
 from wayflux.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -392,6 +393,25 @@ def test_rerouting_with_speed_limits_and_flow_by_link(spark):
     assert nothing[0].count() == nothing[1].count() == 0
 
 
+def counted(spark, frame, seen):
+    """``frame``, whose rows are counted in ``seen`` each time they are made."""
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(passed, frame.schema)
+
+
+def test_rerouting_makes_links_once_and_trips_twice(spark):
+    """A plan that makes its tables again for each use, and broadcasts them, fills the driver."""
+    state, trips, capacity, limits = event(Inputs(spark, SF))
+    links_, trips_ = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    costs, flow = assign.rerouting(counted(spark, state, links_), counted(spark, trips, trips_), capacity, limits=limits)
+    assert costs.count() == 3 and flow.count() == 3 * state.count()
+    assert links_.value == state.count() and trips_.value <= 2 * trips.count()
+
+
 def test_layers_are_networks_of_their_own(spark):
     k = Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "cast(round(length_m) as bigint) as weight")
     both = k.withColumn("layer", F.lit(0).cast("long")).unionByName(k.filter("e_id % 3 > 0").withColumn("layer", F.lit(5).cast("long")))
