@@ -488,6 +488,28 @@ def test_pairs_in_cells_are_dealt_by_their_number(spark, monkeypatch):
     assert best == {**{z: (0, 1) if z % 2 == 0 else (3, 1) for z in range(60)}, 99: (None, None)}
 
 
+def test_zones_meet_in_homes_and_tiles(spark, monkeypatch):
+    for name, value in {"HOME": 3, "ZONES": 4, "CELLS": 9, "TASK_PAIRS": 7}.items():
+        monkeypatch.setattr(spatial, name, value)
+    draw = random.Random(11)
+    zones = [(f"z{k}", draw.randint(-9, 9), draw.randint(-4, 4)) for k in range(20) for _ in range(draw.randint(1, 12))]
+    cities = [(k if k else None, draw.randint(-9, 9), draw.randint(-4, 4)) for k in range(25) for _ in range(draw.randint(1, 12))]
+    left = spark.createDataFrame([*zones, ("z99", 99, 99), ("z98", None, 1)], "zone string, index_i long, index_j long")
+    right = spark.createDataFrame([*cities, (77, 1, None)], "city long, index_i long, index_j long")
+    joined = left.join(right, ["index_i", "index_j"]).groupBy("zone", "city").agg(F.count(F.lit(1)).alias("cells"))
+    found = spatial._shared_cells(left, right, "zone", "city")
+    assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+    assert spatial.overlapping(left, right, "zone", "city").count() == joined.count()
+    most = {}
+    for r in joined.collect():
+        most[r.zone] = max(most.get(r.zone, (0, 0, None)), (r.cells, -(r.city or 10**9), r.city), key=lambda b: b[:2])
+    best = {r.zone: (r.city, r.cells) for r in spatial.largest_overlap(left, right, "zone", "city").collect()}
+    assert best == {z: (most[z][2], most[z][0]) if z in most else (None, None) for z in {f"z{k}" for k in range(20)} | {"z99", "z98"}}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.find("Generate") < plan.find("FlatMapGroupsInArrow") and "Aggregate" not in plan  # pairs unfold last
+    assert spatial.overlapping(left.filter("false"), right, "zone", "city").isEmpty()
+
+
 def test_rerouting_takes_all_displaced_trips(spark):
     want = {r.scenario: (r.change_flow, r.trips) for r in QUERIES["G12_displaced"](spark, SF).collect()}
     found = QUERIES["G12_rerouting"](spark, SF).collect()

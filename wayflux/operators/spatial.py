@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wayflux.checkpoints import checkpoint
+from wayflux.operators.cells import ranges
 from wayflux.operators.nearest import pairs_nearest
 
-TASK_PAIRS = 2**20  # pairs in a cell that a task makes
+TASK_PAIRS = 2**20  # pairs in a cell that a task makes, and that are held at a time
 TILE = 2048  # points, and rings, of a cell that are tested together
+HOME = 8  # cells of a home's side
+ZONES, CELLS = 2048, 2**17  # keys, and cells of theirs, that meet as many others in a task
 TESTED = 2**18  # tests of a point and an edge that are held at a time
 
 
@@ -222,29 +225,93 @@ def containing_or_nearest(points: DataFrame, polygons: DataFrame, centres: DataF
     return held.unionByName(pairs_nearest(rest, centres).select("zone_id", "node_id"))
 
 
-def _shared_cells(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
-    """key, other: a row for each cell that both are in, all rows of a key in one of as many tasks as there are rows for.
+def _shared_cells(left: DataFrame, right: DataFrame, key: str, other: str, best: bool = False) -> DataFrame:
+    """key, other, cells: a row for each pair that shares cells, and in how many; with ``best`` each key's first few only.
 
-    A cell's others travel as a list to each of the cell's keys, and pairs are made where they are counted.
+    A key goes with all its cells to the home of its least ones (HOME cells a side), the others' cells to each home that reaches
+    them, so that a pair meets once. Keys and others of a home are dealt over so many groups that none holds more than about
+    ZONES or CELLS of either. A group counts all its pairs at once and gives each key a list; pairs unfold last, and none is
+    sorted or shuffled. ``best`` leaves one a group for each key: of the most cells, the smaller of equals.
     """
     cell, n = ["index_i", "index_j"], F.count(F.lit(1))
-    met = left.groupBy(*cell).agg(n.alias("n")).join(right.groupBy(*cell).agg(n.alias("m")), cell)
-    rows = met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
-    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_PAIRS))
-    listed = right.groupBy(*cell).agg(F.collect_list(other).alias("others"))
-    return left.join(listed, cell).select(key, "others").repartition(tasks, key).select(key, F.explode("others").alias(other))
+    lists = lambda f, *by: f.groupBy(*by).agg(F.collect_list(F.struct(*cell)).alias("c"))
+    split = [F.col(f"c.{a}").alias(a) for a in cell]
+    home = lambda a: F.floor(F.array_min(F.col(f"c.{a}")) / HOME)
+    left, right = checkpoint(left.dropna(subset=cell)), checkpoint(right.dropna(subset=cell))
+    zones = checkpoint(lists(left, key).select(key, *split, home("index_i").alias("home_i"), home("index_j").alias("home_j")))
+    at = ["home_i", "home_j"]
+    reach = zones.select(*at, F.explode(F.arrays_zip(*cell)).alias("c")).select(*at, "c.index_i", "c.index_j").distinct()
+    cities = checkpoint(lists(right.join(reach, cell), *at, other).select(*at, other, *split))
+    tiles = lambda name: F.greatest(F.ceil(n / ZONES), F.ceil(F.sum(F.size("index_i")) / CELLS)).alias(name)
+    sizes = checkpoint(zones.groupBy(*at).agg(tiles("a_tiles")).join(cities.groupBy(*at).agg(tiles("b_tiles")), at))  # one row a home
+    to = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    mine = lambda name, column: F.pmod(F.xxhash64(column), F.col(name))
+    asked = zones.join(sizes, at).withColumn("a", mine("a_tiles", key)).withColumn("b", to("b_tiles")).select(*at, "a", "b", F.lit(True).alias("asked"), F.col(key).alias("zone"), *cell)
+    met = cities.join(sizes, at).withColumn("b", mine("b_tiles", other)).withColumn("a", to("a_tiles")).select(*at, "a", "b", F.lit(False).alias("asked"), F.col(other).alias("city"), *cell)
+    kinds = left.schema[key].dataType, right.schema[other].dataType
+    shape = pa.schema([("zone", to_arrow_type(kinds[0])), ("city", pa.list_(to_arrow_type(kinds[1]))), ("cells", pa.list_(pa.int64()))])
+
+    def counted(group: pa.Table) -> pa.Table:
+        zone, city = group.filter(group["asked"]).combine_chunks(), group.filter(pc.invert(group["asked"])).combine_chunks()
+        if not len(zone) or not len(city):
+            return shape.empty_table()
+        city = city.take(pc.sort_indices(city["city"]))
+        (z, zi, zj), (c, ci, cj) = _placed(zone), _placed(city)
+        _, i = np.unique(np.concatenate([zi, ci]), return_inverse=True)
+        _, j = np.unique(np.concatenate([zj, cj]), return_inverse=True)
+        place = i * (j.max() + 1) + j
+        of, there = place[: len(z)], place[len(z) :]
+        order = np.argsort(there, kind="stable")
+        there, c = there[order], c[order]
+        low, high = np.searchsorted(there, of), np.searchsorted(there, of, "right")
+        steps = np.cumsum(high - low)
+        many, found, counts, begin = len(city), [], [], 0
+        while begin < len(zone):
+            first = np.searchsorted(z, begin)
+            # So many keys that their cells' others are about TASK_PAIRS, one key at least.
+            last = np.searchsorted(steps, (steps[first - 1] if first else 0) + TASK_PAIRS, "right")
+            end = min(len(zone), begin + max(1, TASK_PAIRS // many), max(begin + 1, int(z[last]) if last < len(z) else len(zone)))
+            some = slice(first, np.searchsorted(z, end))
+            where, which = ranges(low[some], high[some])
+            pairs = np.bincount((z[some][which] - begin) * many + c[where], minlength=(end - begin) * many).reshape(-1, many)
+            if best:
+                most = pairs.argmax(1)
+                pairs = np.where(np.arange(many) == most[:, None], pairs, 0)
+            row, column = np.nonzero(pairs)
+            found.append((np.bincount(row, minlength=end - begin), column))
+            counts.append(pairs[row, column])
+            begin = end
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([f[0] for f in found]))]), pa.int32())
+        keys = city["city"].combine_chunks().take(pa.array(np.concatenate([f[1] for f in found])))
+        keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys, pa.array(np.concatenate(counts)))]
+        return pa.table([zone["zone"], *lists], names=shape.names).cast(shape)
+
+    spark = left.sparkSession
+    per_cell = left.groupBy(*cell).agg(n.alias("n")).join(right.groupBy(*cell).agg(n.alias("m")), cell)
+    rows = per_cell.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_PAIRS))
+    dealt = asked.unionByName(met, allowMissingColumns=True).repartition(tasks, *at, "a", "b").groupBy(*at, "a", "b")
+    listed = dealt.applyInArrow(counted, f"zone {kinds[0].simpleString()}, city array<{kinds[1].simpleString()}>, cells array<bigint>")
+    return listed.select(F.col("zone").alias(key), F.explode(F.arrays_zip("city", "cells")).alias("p")).select(key, F.col("p.city").alias(other), "p.cells")
+
+
+def _placed(held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index_i and index_j of each cell in the lists of ``held``."""
+    i, j = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in held[a].chunks]) for a in ("index_i", "index_j"))
+    return np.repeat(np.arange(len(held)), pc.list_value_length(held["index_i"]).to_numpy()), i, j
 
 
 def largest_overlap(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
     """For each left key the right one that shares most cells with it, the smaller of equals; null if none does."""
-    shared = _shared_cells(left, right, key, other).groupBy(key, other).agg(F.count(F.lit(1)).alias("cells"))
+    shared = _shared_cells(left, right, key, other, best=True)
     best = shared.groupBy(key).agg(F.max(F.struct("cells", (-F.col(other)).alias("back"), other)).alias("b")).select(key, F.col(f"b.{other}").alias(other), F.col("b.cells").alias("cells"))
     return left.select(key).distinct().join(best, key, "left")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
     """Pairs of zones that share a cell."""
-    return _shared_cells(left, right, key, other).distinct()
+    return _shared_cells(left, right, key, other).select(key, other)
 
 
 def referenced(points: DataFrame, lines: DataFrame) -> DataFrame:
