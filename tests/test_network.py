@@ -689,3 +689,32 @@ def test_segments_over_one_another_are_cut_to_stretches(spark):
     best = spark.createDataFrame(points, "zone_id long, x double, y double").crossJoin(items)
     best = best.groupBy("zone_id").agg(F.min(F.struct(nearest._segment_gap(F.col("item"), F.col("x"), F.col("y")).alias("gap"), "item.line_id")).alias("b"))
     assert found == {r.zone_id: (r.b.line_id, r.b.gap**0.5) for r in best.collect()}
+
+
+def test_small_networks_are_labelled_in_blocks():
+    """A hub's links stand in several columns; blocks give the same least costs as every link tried over and over."""
+    rng = np.random.default_rng(3)
+    u, v = np.append(rng.integers(0, 90, 400), np.arange(1, 60)), np.append(rng.integers(0, 90, 400), np.zeros(59, int))
+    order = np.argsort(v, kind="stable")
+    u, v, weight = u[order], v[order], rng.integers(1, 9, len(u)).astype(float)
+    starts = np.array([0, 5, 77])
+    pieces = cells._pieces(u, v, weight, len(starts))
+    assert len(pieces) > 1 and all(len(np.unique(to)) == len(to) and len(before) <= cells.PIECE for to, before, _ in pieces)
+    want = np.full((90, 3), np.inf)
+    want[starts, range(3)] = 0
+    for _ in range(90):
+        np.minimum.at(want, v, want[u] + weight[:, None])
+    assert (cells._costs(90, pieces, starts) == want).all()
+
+
+def test_rounds_of_an_assignment_take_few_jobs(spark):
+    net = spark.range(40).selectExpr("id as e_id", "id % 20 as from_id", "(id * 7 + 1) % 20 as to_id", "1 + id % 5 as weight", "10.0D as acc_capacity", "10.0D as current_capacity", "0.0D as acc_flow", "'M' as combined_label", "60.0D as initial_flow_speeds", "10.0D as min_flow_speeds", "1200.0D as breakpoint_flows")
+    od = spark.range(60).selectExpr("id % 20 as origin_node", "(id * 3 + 1) % 20 as destination_node", "4 as flow")
+    spark.sparkContext.setJobGroup("rounds", "an assignment")
+    jobs = []
+    for rounds in (1, 2):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "an assignment")
+        assign.assign(net, od, rounds)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] - jobs[0] <= 45
