@@ -718,3 +718,33 @@ def test_rounds_of_an_assignment_take_few_jobs(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
     spark.sparkContext.setJobGroup("", "")
     assert jobs[1] - jobs[0] <= 45
+
+
+@pytest.mark.parametrize("top, both", [(3, True), (40, True), (5, False)])
+def test_a_search_from_both_ends_finds_the_same_ways(monkeypatch, top, both):
+    """A large network's nodes are not all labelled; costs, ways and the choice of equal ones are those of full labels."""
+    monkeypatch.setattr(cells, "MET", 3 * 9000)
+    rng = np.random.default_rng(top)
+    u, v = rng.integers(0, 9000, 30000), rng.integers(0, 9000, 30000)
+    weight = rng.integers(0, top, 30000).astype(float)
+    if both:
+        u, v, weight = np.append(u, v), np.append(v, u), np.append(weight, weight)
+    start = np.sort(rng.integers(0, 9000, 60))
+    end = np.append(rng.integers(0, 9000, 59), start[-1])
+    starts, row = np.unique(start, return_inverse=True)
+    search = cells._Meeting(9000, u, v, weight)
+    found = [np.concatenate(x) for x in zip(*search.ways(starts, row, end))]
+    want = [np.concatenate(x) for x in zip(*cells._every_way(9000, u, v, weight, starts, row, end))]
+    assert all((a == b).all() for a, b in zip(found, want))
+    assert np.isinf(search.cost).all() and np.isinf(search.rest).all() and not search.waiting.any() and not search.awaited.any()
+
+
+def test_a_large_network_goes_to_tasks_whole(spark, monkeypatch):
+    monkeypatch.setattr(cells, "DENSE", 100)
+    monkeypatch.setattr(cells, "CELL_NODES", 64)
+    monkeypatch.setattr(cells, "MET", 4 * 400)
+    k = spark.range(1200).selectExpr("id as e_id", "id % 400 as from_id", "(id * 7 + id % 11) % 400 as to_id", "1 + id % 4 as weight")
+    od = spark.range(500).selectExpr("id % 90 as origin_node", "(id * 37) % 420 as destination_node").distinct()
+    assert cells.is_whole(cells.node_cells(routing.directed(k)))
+    rows_ = lambda f: sorted(map(str, f.select("origin_node", "destination_node", "cost", "path").collect()))
+    assert rows_(routing.least_cost_paths(k, od)) == rows_(routing.walked_paths(k, od))
