@@ -748,3 +748,16 @@ def test_a_large_network_goes_to_tasks_whole(spark, monkeypatch):
     assert cells.is_whole(cells.node_cells(routing.directed(k)))
     rows_ = lambda f: sorted(map(str, f.select("origin_node", "destination_node", "cost", "path").collect()))
     assert rows_(routing.least_cost_paths(k, od)) == rows_(routing.walked_paths(k, od))
+
+
+def test_bounded_search_writes_no_labels(spark, monkeypatch):
+    """A network that a task can hold is searched in tasks; a larger one in rounds, with the same rows."""
+    links_ = Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "cast(round(length_m) as bigint) as weight")
+    sources = spark.range(45).selectExpr("id as source", "2000 + id * 20 as cutoff")
+    monkeypatch.setattr(cells, "LISTED", 16)
+    found = routing.reachable(links_, sources)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(cells, "REACHED_LINKS", 1)
+    rounds = routing.reachable(links_, sources)
+    assert found.columns == rounds.columns and found.schema["cost"].dataType == rounds.schema["cost"].dataType
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rounds.collect()))
