@@ -15,6 +15,7 @@ from wayflux.operators import assign, cells, clusters, damage, demand, links, ne
 from wayflux.operators.graph import connected_components
 from wayflux.plans.fixtures import expand
 from wayflux.plans.registry import ORACLE_SQL, QUERIES, Inputs
+from wayflux.plans.disruption import levelled  # isort: skip  (it registers itself)
 from wayflux.plans.scenarios import event
 from wayflux.sources import io
 
@@ -750,6 +751,16 @@ def test_a_large_network_goes_to_tasks_whole(spark, monkeypatch):
     assert rows_(routing.least_cost_paths(k, od)) == rows_(routing.walked_paths(k, od))
 
 
+def test_damage_table_is_whole(spark):
+    """Every curve's and flood's fraction and costs; a segment that one flood damages keeps what the other has, too."""
+    found = QUERIES["M12"](spark, SF).cache()
+    assert len(found.columns) == 4 + 6 * 2 * 4
+    levels = levelled(Inputs(spark, SF)).groupBy("e_id", "index_i", "index_j", "length_m").pivot("flood", ["surface", "river"]).agg(F.first("level"))
+    assert found.count() == levels.filter("surface <> 'no' or river <> 'no'").count()
+    half = found.join(levels.filter("surface = 'no' and river <> 'no'"), ["e_id", "index_i", "index_j", "length_m"])
+    assert not half.isEmpty() and half.filter(F.coalesce(*[f"C{k}_surface_fraction" for k in range(1, 7)]).isNull()).isEmpty()
+
+
 def test_bounded_search_writes_no_labels(spark, monkeypatch):
     """A network that a task can hold is searched in tasks; a larger one in rounds, with the same rows."""
     links_ = Inputs(spark, SF).view("links").selectExpr("e_id", "from_id", "to_id", "cast(round(length_m) as bigint) as weight")
